@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import language_id
+from tidewright.llm import decontaminate, language_id, simhash
 from tidewright.llm.common import crc_bucket, documents
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, items, {"doc_id": F.col("doc_id")})
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_bucket(F.col("doc_id"), 4) == 2
@@ -19,7 +28,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash": op6_simhash,
+    "op8_decontaminate": op8_decontaminate,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Terms of a text t, A-Z lower-cased, as DuckDB has it.
+_TERMS = r"regexp_extract_all(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontaminate": f"""
+        with d as (select doc_id, {_TERMS.replace("t,", "text,")} as w from documents),
+        b as (select item_id, {_TERMS.replace("t,", "text,")} as w from benchmark),
+        bw as (select item_id, least(len(w), 10) as n, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i, w from b where len(w) > 0),
+        win as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as s from bw),
+        lengths as (select distinct n from win),
+        dw as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as i, w from d, lengths where len(w) >= n),
+        occ as (select doc_id, item_id, i, win.n from (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as s from dw) x join win on x.n = win.n and x.s = win.s),
+        hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from occ) group by doc_id),
+        named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, cast(item_id as varchar) as item from occ where item_id is not null) group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (doc_id) left join named using (doc_id)
+    """,
+}
