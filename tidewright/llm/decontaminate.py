@@ -47,10 +47,15 @@ def _hashes(words: Column, k: int) -> Column:
     return F.when(n >= k, every).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
 
-def _with_terms(words: Column, hit: Column, k: int, window: int) -> Column:
+def _around(words: Column, hit: Column, k: Column, window: int) -> Column:
     """A hit with the terms that a window around it may hold."""
-    at = F.greatest(hit["pos"] - (window - k), F.lit(0))
-    return F.struct(hit["pos"].alias("pos"), hit["h"].alias("h"), at.alias("at"), F.slice(words, at + 1, 2 * window - k).alias("around"))
+    at = F.greatest(hit["pos"] - (F.lit(window) - k), F.lit(0))
+    return F.struct(hit["pos"].alias("pos"), hit["h"].alias("h"), at.alias("at"), F.slice(words, at + 1, F.lit(2 * window) - k).alias("around"))
+
+
+def _hits(words: Column, k: int, wanted: list[int], window: int) -> Column:
+    hits = F.filter(_hashes(words, k), lambda x: x["h"].isin(wanted))
+    return F.transform(hits, lambda x: _around(words, x, F.lit(k), window))
 
 
 def _scan(docs: DataFrame, keep: dict[str, Column], text: str, shingles: DataFrame, ws: Workspace, window: int, max_literal: int) -> tuple[DataFrame, DataFrame]:
@@ -62,8 +67,7 @@ def _scan(docs: DataFrame, keep: dict[str, Column], text: str, shingles: DataFra
         found = []
         for k in sorted(per_k):
             wanted = [r["h"] for r in shingles.filter(F.col("k") == k).select("h").collect()]
-            hits = F.filter(_hashes(words, k), lambda x, wanted=wanted: x["h"].isin(wanted))
-            found.append(F.transform(hits, lambda x, k=k: _with_terms(words, x, k, window)))
+            found.append(_hits(words, k, wanted, window))
         empty = F.array().cast("array<struct<pos:int,h:bigint,at:int,around:array<string>>>")
         saved = ws.save(rows.withColumn("hits", F.flatten(F.array(*found)) if found else empty).drop("words").withColumn("rid", F.monotonically_increasing_id()), "scan")
         hits = saved.select("rid", "n_words", F.explode("hits").alias("x")).select("rid", "n_words", "x.*")
@@ -74,15 +78,10 @@ def _scan(docs: DataFrame, keep: dict[str, Column], text: str, shingles: DataFra
     found = placed.join(shingles, "h").select("rid", F.struct("pos", "h", "k").alias("hit"))
     lists = ws.save(found.groupBy("rid").agg(F.collect_list("hit").alias("hits")), "found")
     back = saved.select("rid", "n_words", "words").join(lists, "rid")
-    hits = back.select("rid", "n_words", "words", F.explode("hits").alias("x")).select("rid", "n_words", F.col("x.k").alias("k"), _around(F.col("words"), F.col("x"), window).alias("y"))
+    hits = back.select("rid", "n_words", "words", F.explode("hits").alias("x")).select("rid", "n_words", _around(words, F.col("x"), F.col("x")["k"], window).alias("y"))
     return saved.drop("words"), hits.select("rid", "n_words", "y.*")
 
 
-def _around(words: Column, hit: Column, window: int) -> Column:
-    at = F.greatest(hit["pos"] - (F.lit(window) - hit["k"]), F.lit(0))
-    return F.struct(hit["pos"].alias("pos"), hit["h"].alias("h"), at.alias("at"), F.slice(words, at + 1, F.lit(2 * window) - hit["k"]).alias("around"))
-
-
 def contamination(docs: DataFrame, items: DataFrame, keep: dict[str, Column], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, max_literal: int = MAX_LITERAL) -> DataFrame:
     """The columns named in keep, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
     ws = Workspace(docs.sparkSession, "decontaminate")
