@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import decontaminate, language_id, simhash
+from tidewright.llm import decontaminate, language_id, line_templates, mixing, simhash
 from tidewright.llm.common import crc_bucket, documents
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir), {"doc_id": F.col("doc_id")})
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -20,6 +24,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, items, {"doc_id": F.col("doc_id")})
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.deduplicated(documents(spark, sf_dir), {"doc_id": F.col("doc_id")})
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_bucket(F.col("doc_id"), 4) == 2
@@ -28,8 +37,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op6_simhash": op6_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op9_line_templates": op9_line_templates,
     "op10_language_id": op10_language_id,
 }
 
@@ -37,6 +48,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _TERMS = r"regexp_extract_all(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": r"""
+        with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+        s as (select source, sum(size) as source_size from d group by source),
+        r as (select *, 2 * source_size as most, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight, row_number() over (order by source nulls last) as nth from s),
+        l as (select *, (sum(source_size) over () * cast(1.5 as double) - coalesce(sum(most) over (order by most / weight, nth rows between unbounded preceding and 1 preceding), 0))
+                / (sum(weight) over () - coalesce(sum(weight) over (order by most / weight, nth rows between unbounded preceding and 1 preceding), 0)) as level from r),
+        f as (select *, (select arg_min(level, most / weight) from l where most / weight > level) as final from l),
+        t as (select source, cast(source_size as bigint) as source_size, least(cast(most as double), coalesce(final * weight, cast(most as double))) as target from f),
+        p as (select d.*, t.source_size, t.target, sum(size) over (partition by d.source order by md5('mix-1' || cast(doc_id as varchar)), doc_id, size rows between unbounded preceding and current row) - size as before
+              from d join t on d.source is not distinct from t.source)
+        select doc_id, size, source_size, target, cast(case when source_size = 0 then 0 else
+               (cast(floor(target) as bigint) // source_size) * size + least(size, greatest(0, cast(floor(target) as bigint) % source_size - before)) end as bigint) as taken
+        from p
+    """,
+    "op9_line_templates": r"""
+        with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+        m as (select *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as w from l),
+        e as (select distinct doc_id, w from m where len(w) >= 3),
+        c as (select w, len(w) as size, w[1:3] as lead, count(*) as n, min(doc_id) as first from e group by w),
+        leaves as (select size, lead from c where n < 5 group by size, lead having sum(n) >= 5 and count(*) > 1),
+        p as (select w, c.size, c.lead, n, unnest(w) as token, generate_subscripts(w, 1) as pos from c join leaves using (size, lead) where n < 5),
+        f as (select size, lead, pos, token, sum(n) as support from p group by all),
+        marked as (select p.w, p.size, p.pos, case when p.token <> '<*>' and (support >= 5 or p.pos <= 3) then p.token end as token from p join f using (size, lead, pos, token)),
+        shapes as (select w, string_agg(coalesce(token, chr(1)), ' ' order by pos) as shape from marked group by w, size having count(token) >= ceil(size * cast(0.6 as double) - 1e-9)),
+        held as (select distinct shape, doc_id from shapes join e using (w)),
+        g as (select shape, min(doc_id) as first from held group by shape having count(*) >= 5),
+        gone as (select w, first from c where n >= 5 union all select w, g.first from shapes join g using (shape)),
+        kept as (select m.doc_id, count(*) as n_lines, count(gone.w) as n_dropped, string_agg(case when gone.w is null then line end, chr(10) order by i) as kept
+                 from m left join gone on m.w = gone.w and m.doc_id > gone.first group by m.doc_id)
+        select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, sha256(coalesce(kept, '')) as kept_sha256 from documents left join kept using (doc_id)
+    """,
     "op8_decontaminate": f"""
         with d as (select doc_id, {_TERMS.replace("t,", "text,")} as w from documents),
         b as (select item_id, {_TERMS.replace("t,", "text,")} as w from benchmark),
