@@ -7,18 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import decontaminate, language_id, line_templates, mixing, simhash
-from tidewright.llm.common import crc_bucket, documents
+from tidewright.llm import compression, decontaminate, language_id, licenses, line_templates, mixing, quality, simhash, substrings, token_ledger
+from tidewright.llm.common import Workspace, crc_bucket, documents
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir), {"doc_id": F.col("doc_id")})
 
 
+def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.rules(documents(spark, sf_dir), {"doc_id": F.col("doc_id")})
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir), {"doc_id": F.col("doc_id")})
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    held_out = crc_bucket(F.col("doc_id"), 3) == 1
+    model = quality.train(docs, labels.filter(~held_out))
+    return quality.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(documents(spark, sf_dir), {"doc_id": F.col("doc_id")}).drop("kept")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, through two batches of inserts, a replay, a deletion, a revision and the deleted rows' return."""
+    docs = documents(spark, sf_dir)
+    ledger = token_ledger.TokenLedger(spark, Workspace(spark, "ledger").path, {"byte_bpe_50k": token_ledger.byte_bpe()})
+    even, odd = (docs.filter(crc_bucket(F.col("doc_id"), 2) == k) for k in (0, 1))
+    some, others = (docs.filter(crc_bucket(F.col("doc_id"), 64) == k) for k in (2, 3))
+    ledger.apply("1-insert", token_ledger.as_changes(even, token_ledger.INSERT))
+    ledger.apply("2-insert", token_ledger.as_changes(odd, token_ledger.INSERT))
+    ledger.apply("1-insert", token_ledger.as_changes(even, token_ledger.INSERT))
+    ledger.apply("3-delete", token_ledger.as_changes(some, token_ledger.DELETE))
+    ledger.apply("4-revise", token_ledger.as_changes(others, token_ledger.REVISE))
+    ledger.apply("5-insert", token_ledger.as_changes(some, token_ledger.INSERT))
+    return ledger.totals()
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")
     return decontaminate.contamination(docs, items, {"doc_id": F.col("doc_id")})
@@ -38,7 +72,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_compression": op2_compression,
+    "op3_licenses": op3_licenses,
+    "op4_quality": op4_quality,
+    "op5_substrings": op5_substrings,
     "op6_simhash": op6_simhash,
+    "op7_token_ledger": op7_token_ledger,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_templates": op9_line_templates,
     "op10_language_id": op10_language_id,
