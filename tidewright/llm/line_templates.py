@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WORD, Workspace, row_key
+from tidewright.llm.common import WORD, Workspace
 
 MIN_DOCS, LEADING, CONSTANT, MIN_TOKENS = 5, 3, 0.6, 3
 FIELD = "<*>"
@@ -42,14 +42,18 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _keys(doc_id: str, text: str) -> list[Column]:
+    """A row's id, and a hash of id and text that tells rows of one id apart."""
+    return [F.coalesce(F.col(doc_id).cast("long"), LAST).alias("id"), F.xxhash64(F.col(text), F.col(doc_id)).alias("k")]
+
+
 def _entries(docs: DataFrame, doc_id: str, text: str, min_tokens: int, leading: int) -> DataFrame:
-    """(k1, k2, id, leaf, h1, h2, tokens) for each distinct masked line of each row."""
-    k1, k2 = row_key(F.col(doc_id), F.col(text))
+    """(id, k, leaf, h1, h2, tokens) for each distinct masked line of each row."""
     lines = F.array_distinct(F.transform(_lines(F.col(text)), _masked))
-    out = docs.select(k1, k2, F.coalesce(F.col(doc_id).cast("long"), LAST).alias("id"), F.explode(lines).alias("line"))
+    out = docs.select(*_keys(doc_id, text), F.explode(lines).alias("line"))
     out = out.withColumn("tokens", F.split("line", " ", -1)).filter((F.size("tokens") >= min_tokens) & (F.col("line") != ""))
     return out.select(
-        "k1", "k2", "id", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, leading)).alias("leaf"),
+        "id", "k", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, leading)).alias("leaf"),
         F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), "tokens",
     )
 
@@ -58,37 +62,40 @@ def recurring(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
     """(rows with their lines' hashes; hashes of the lines of recurring templates and the id that keeps them)."""
     every = _entries(docs, doc_id, text, min_tokens, leading)
     seen = ws.save(every.drop("tokens"), "lines")
-    line = ["leaf", "h1", "h2"]
-    counts = ws.save(seen.groupBy(*line).agg(F.count("*").alias("n"), F.min("id").alias("first")), "counts")
+    line = ["h1", "h2"]
+    counts = ws.save(seen.groupBy(*line).agg(F.first("leaf").alias("leaf"), F.count("*").alias("n"), F.min("id").alias("first")), "counts")
     exact = counts.filter(F.col("n") >= min_docs).select(*line, "first")
-    rare = counts.filter(F.col("n") < min_docs)
+    rare = counts.filter(F.col("n") < min_docs).select(*line, "leaf", "n")
     leaves = ws.save(rare.groupBy("leaf").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).filter((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select("leaf"), "leaves")
 
-    parsed = every.join(leaves, "leaf").select(*line, "tokens").dropDuplicates(line).join(rare, line)
-    places = parsed.select(*line, "n", F.posexplode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("pos", "token"), (F.size("tokens")).alias("size"))
-    places = ws.save(places.withColumn("field", F.col("token") == F.xxhash64(F.lit(FIELD))), "places")
-    at = ["leaf", "pos", "token"]
-    fixed = ws.save(places.groupBy(*at).agg(F.sum("n").alias("all")).filter(F.col("all") >= min_docs).select(*at, F.lit(True).alias("fixed")), "fixed")
-    stands = ~F.col("field") & (F.coalesce("fixed", F.lit(False)) | (F.col("pos") < leading))
-    marked = places.join(fixed, at, "left").select(*line, "size", "pos", F.when(stands, F.col("token")).alias("token"))
-    shape = F.sort_array(F.collect_list(F.struct("pos", "token")))
-    shapes = marked.groupBy(*line).agg(shape.alias("shape"), F.count("token").alias("fixed"), F.first("size").alias("size"))
-    shapes = shapes.filter(F.col("fixed") >= F.ceil(F.col("size") * F.lit(constant) - 1e-9))
-    shapes = ws.save(shapes.select(*line, F.xxhash64("leaf", "shape").alias("t1"), F.xxhash64(F.lit(3), "shape", "leaf").alias("t2")), "shapes")
-    held = seen.join(shapes, line).select("t1", "t2", "k1", "k2", "id").distinct()
+    # A place is a token at its position below its leaf; the leading tokens are those of all the leaf's lines.
+    place = F.transform("tokens", lambda t, i: F.when(t != FIELD, F.xxhash64(F.col("leaf"), i, t)))
+    parsed = every.join(leaves, "leaf").select(*line, F.array_compact(place).alias("places"), F.size("tokens").alias("size"))
+    parsed = parsed.dropDuplicates(line).join(rare.select(*line, "n"), line)
+    parsed = ws.save(parsed.withColumn("line", F.monotonically_increasing_id()), "parsed")
+    places = parsed.select("line", "n", F.explode("places").alias("place"))
+    fixed = ws.save(places.groupBy("place").agg(F.sum("n").alias("all")).filter(F.col("all") >= min_docs).select("place"), "fixed")
+    standing = places.select("line", "place").join(fixed, "place")
+    shapes = standing.groupBy("line").agg(F.bit_xor("place").alias("t1"), F.bit_xor(F.xxhash64("place")).alias("t2"), F.count("*").alias("fixed"))
+    enough = F.col("fixed") >= F.ceil(F.col("size") * F.lit(constant) - 1e-9)
+    shapes = ws.save(parsed.select("line", "size", *line).join(shapes, "line").filter(enough).select(*line, "t1", "t2"), "shapes")
+    held = seen.join(shapes, line).select("t1", "t2", "id", "k").distinct()
     groups = held.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= min_docs)
     loose = shapes.join(ws.save(groups.select("t1", "t2", "first"), "groups"), ["t1", "t2"]).select(*line, "first")
-    return seen, ws.save(exact.unionAll(loose), "recurring")
+    found = ws.save(exact.unionAll(loose), "recurring")
+    ws.close(seen, found)
+    return seen, found
 
 
 def deduplicated(docs: DataFrame, keep: dict[str, Column], doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The columns named in keep, n_lines, n_dropped and kept (the text without the dropped lines) of every row."""
     ws = Workspace(docs.sparkSession, "lines")
     seen, found = recurring(docs, ws, doc_id, text, **options)
-    drops = seen.join(found, ["leaf", "h1", "h2"]).filter(F.col("id") > F.col("first")).select("k1", "k2", "h1")
-    drops = ws.save(drops.groupBy("k1", "k2").agg(F.collect_set("h1").alias("drops")), "drops")
-    k1, k2 = row_key(F.col(doc_id), F.col(text))
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("__text"), k1, k2).join(drops, ["k1", "k2"], "left")
+    drops = seen.join(found, ["h1", "h2"]).filter(F.col("id") > F.col("first")).select("id", "k", "h1")
+    drops = ws.save(drops.groupBy(F.struct("id", "k").alias("__key")).agg(F.collect_set("h1").alias("drops")), "drops")
+    ws.close(drops)
+    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("__text"), F.struct(*_keys(doc_id, text)).alias("__key"))
+    rows = rows.join(drops, "__key", "left")
     lines = _lines(F.col("__text"))
     stays = F.filter(lines, lambda x: ~F.array_contains("drops", F.xxhash64(F.lit(1), _masked(x))))
     kept = F.when(F.col("drops").isNull(), lines).otherwise(stays)
