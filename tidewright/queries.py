@@ -394,7 +394,7 @@ _BOXED = f"lon between {BOX[0]} and {BOX[2]} and lat between {BOX[1]} and {BOX[3
 @register(sql(f"select station_id, name, lat, lon, state, offset_m, row_number() over (order by station_id) - 1 as gauge_idx from st where {_BOXED}", "st"))
 def stations_in_box(spark: SparkSession, sf: str) -> DataFrame:
     """P15, P16, O1, W8, D8"""
-    return stations.numbered(stations.at_least(stations.within(station_table(spark, sf), BOX), 1))
+    return stations.numbered(stations.at_least(stations.within(station_table(spark, sf), BOX), 0))
 
 
 @register(sql("select station_id, source from (select station_id, 'a' as source, 0 as r from st where cast(station_id as int) % 3 = 0 union all select station_id, 'b', 1 from st) qualify row_number() over (partition by station_id order by r) = 1", "st"))
