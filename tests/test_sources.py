@@ -185,3 +185,64 @@ def test_hybrid_and_zones(spark):
     assert stations.zones_match(names, names) and not stations.zones_match(names, names.limit(1))
     with pytest.raises(ValueError, match="no place"):
         stations.with_sites(names, spark.createDataFrame([("a", 1.0, 2.0)], "station_id string, lat double, lon double"))
+
+
+def test_download(tmp_path):
+    (tmp_path / "a").write_bytes(b"x" * 1000)
+    asked = [("t.tif", (tmp_path / "a").as_uri(), 0.001)]
+    (path,) = remote.download(asked, str(tmp_path / "out"))
+    (tmp_path / "a").write_bytes(b"y" * 1000)
+    assert remote.download(asked, str(tmp_path / "out")) == [path] and open(path, "rb").read(1) == b"x"
+    remote.download(asked, str(tmp_path / "out"), skip_existing=False)
+    assert open(path, "rb").read(1) == b"y"
+    with pytest.raises(OSError):
+        remote.download([("u.tif", (tmp_path / "none").as_uri(), None)], str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["t.tif"]
+
+
+def test_type_report(spark):
+    kinds = spark.createDataFrame([("a", "empty"), ("b", "obs_6min"), ("c", "empty")], "station_id string, record_type string")
+    assert stations.type_report(kinds).split() == ["empty", "2", "obs_6min", "1"]
+
+
+def test_warp(spark):
+    from tidewright.functions.geo import from_utm, to_utm
+
+    at = spark.createDataFrame([(-97.005, 27.805), (-98.9, 27.0)], "lon double, lat double")
+    x, y = to_utm(F.col("lon"), F.col("lat"), 14)
+    lon, lat = from_utm(F.col("x"), F.col("y"), 14)
+    for r in at.select("lon", "lat", x.alias("x"), y.alias("y")).select("*", lon.alias("a"), lat.alias("b")).collect():
+        assert abs(r["lon"] - r["a"]) < 1e-7 and abs(r["lat"] - r["b"]) < 1e-7
+    step, n = 0.0005, 20
+    sources = spark.createDataFrame([(1, -97.01, 27.81, step, n, n), (2, -97.0, 27.81, step, n, n)], "priority int, west double, north double, step double, rows int, columns int")
+    pixels = spark.range(2 * n * n).select((F.expr(f"id div {n * n}") + 1).cast("int").alias("priority"), F.expr(f"cast(id % {n * n} div {n} as int)").alias("row"), (F.col("id") % n).cast("int").alias("col"))
+    west = F.when(F.col("priority") == 1, -97.01).otherwise(-97.0)
+    plane = lambda lon, lat: 10 * (lon + 97) + 5 * (lat - 27.8)
+    pixels = pixels.withColumn("z", plane(west + (F.col("col") + 0.5) * step, 27.81 - (F.col("row") + 0.5) * step))
+    corner = at.limit(1).select(*(c.alias(k) for c, k in zip(to_utm(F.lit(-97.009), F.lit(27.809), 14), "xy", strict=True))).first()
+    got = tiles.warp(spark, pixels, sources, corner["x"], corner["y"], 40, 25, 30.0, 14)
+    lon, lat = from_utm(F.lit(corner["x"]) + (F.col("col") + 0.5) * 30, F.lit(corner["y"]) - (F.col("row") + 0.5) * 30, 14)
+    rows = got.withColumns({"want": plane(lon, lat)}).collect()
+    assert len(rows) == 1000 and sum(r["dem"] is not None for r in rows) > 950
+    assert max(abs(r["dem"] - r["want"]) for r in rows if r["dem"] is not None) < 5e-3
+
+
+def test_zones(spark, tmp_path):
+    from tidewright.functions.geo import to_utm
+    from tidewright.plans import zones
+
+    table = spark.createDataFrame([(0, "a", -81.0, 24.5), (1, "b", -80.99, 24.5)], "gauge_idx int, station_id string, lon double, lat double")
+    x, y = to_utm(F.lit(-81.0), F.lit(24.5), 17)
+    at = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    grid = grids.Grid(40, 2, (30.0, 0.0, at["x"], 0.0, -30.0, at["y"] + 30))
+    cells = spark.range(80).select(F.col("id").alias("cell_id"), F.expr("cast(id div 40 as int)").alias("row"), (F.col("id") % 40).cast("int").alias("col"), (F.col("id") == 0).alias("nodata"))
+    drawn = zones.draw_zones(cells, grid, table, "EPSG:32617")
+    found = {r["cell_id"]: r["gauge"] for r in drawn.collect()}
+    assert found[0] == 0 and found[1] == 1 and found[39] == 2
+    path = str(tmp_path / "z")
+    assert not zones.zones_current(spark, path, table)
+    zones.write_zones(drawn, table, path)
+    assert zones.zones_current(spark, path, table) and not zones.zones_current(spark, path, table.limit(1))
+    assert grids.read_pixels(spark, path)[1].width == 40
+    with pytest.raises(ValueError):
+        zones.draw_zones(cells, grid, table, "EPSG:3857")

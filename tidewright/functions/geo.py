@@ -119,6 +119,27 @@ def to_utm(lon: Column, lat: Column, zone: int, north: bool = True) -> tuple[Col
     return x, y + F.lit(0.0 if north else 1e7)
 
 
+def from_utm(x: Column, y: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
+    """(lon, lat) of an easting and northing: the inverse of to_utm."""
+    ep2, e1 = _E2 / (1 - _E2), (1 - math.sqrt(1 - _E2)) / (1 + math.sqrt(1 - _E2))
+    mu = (y - F.lit(0.0 if north else 1e7)) / F.lit(0.9996 * _A * (1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256))
+    phi = (
+        mu
+        + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu)
+        + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu)
+        + (151 * e1**3 / 96) * F.sin(6 * mu)
+        + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    )
+    s, c, t = F.sin(phi), F.cos(phi), F.tan(phi)
+    w = 1 - F.lit(_E2) * s * s
+    n, r = F.lit(_A) / F.sqrt(w), F.lit(_A * (1 - _E2)) / F.pow(w, 1.5)
+    tt, cc = t * t, F.lit(ep2) * c * c
+    d = (x - 500000.0) / (n * 0.9996)
+    lat = phi - (n * t / r) * (d * d / 2 - (5 + 3 * tt + 10 * cc - 4 * cc * cc - 9 * ep2) * F.pow(d, 4) / 24 + (61 + 90 * tt + 298 * cc + 45 * tt * tt - 252 * ep2 - 3 * cc * cc) * F.pow(d, 6) / 720)
+    lon = (d - (1 + 2 * tt + cc) * F.pow(d, 3) / 6 + (5 - 2 * cc + 28 * tt - 3 * cc * cc + 8 * ep2 + 24 * tt * tt) * F.pow(d, 5) / 120) / c
+    return F.lit(zone * 6 - 183.0) + F.degrees(lon), F.degrees(lat)
+
+
 def in_ring(x: Column, y: Column, points: list[tuple[float, float]]) -> Column:
     """Whether a point lies in a closed ring, by crossings of a ray; edges are literals of the plan."""
     crossings = F.lit(0)

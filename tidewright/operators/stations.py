@@ -65,6 +65,12 @@ def record_types(covered: DataFrame, predicted: DataFrame, min_pct: float = 80.0
     return covered.join(has, "station_id", "full_outer").select("station_id", F.coalesce("n_records", F.lit(0).cast("long")).alias("n_records"), F.coalesce("coverage_pct", F.lit(0.0)).alias("coverage_pct"), kind.alias("record_type"))
 
 
+def type_report(kinds: DataFrame) -> str:
+    """Stations by record type, as text."""
+    rows = kinds.groupBy("record_type").count().orderBy("record_type").collect()
+    return "\n".join(f"{r['record_type']:12s}{r['count']:6d}" for r in rows)
+
+
 def first_by_time(observations: DataFrame) -> DataFrame:
     """One observation a time, the first by value; nulls and text that is no number are dropped."""
     clean = observations.withColumn("v", F.col("v").try_cast("double")).filter("v is not null and t is not null")

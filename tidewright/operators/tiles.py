@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.geo import BBox
+from tidewright.functions.geo import BBox, from_utm
 from tidewright.functions.text import FOLDER_LINK, TILE_DEGREES, TILE_LINK, tile
 
 BOX = "xmin double, ymin double, xmax double, ymax double"
@@ -115,15 +115,36 @@ def mosaic(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("row", "col").agg(F.min_by("z", known).alias("dem"))
 
 
-def bilinear(pixels: DataFrame, targets: DataFrame) -> DataFrame:
-    """Values at fractional pixel places (tid, r, c) of one tile's pixels (row, col, z); null where a corner is missing.
+def bilinear(pixels: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Values at fractional pixel places (tid, r, c) of pixels (row, col, z), of the tile named by `by`; null where a corner is missing.
 
     Each target makes four rows, one a corner, which are joined by equality and weighted.
     """
     r0, c0 = F.floor("r"), F.floor("c")
     fr, fc = F.col("r") - r0, F.col("c") - c0
     corners = F.array(*[F.struct((r0 + i).cast("int").alias("row"), (c0 + j).cast("int").alias("col"), ((fr if i else 1 - fr) * (fc if j else 1 - fc)).alias("w")) for i in (0, 1) for j in (0, 1)])
-    each = targets.select("tid", F.explode(corners).alias("x")).select("tid", "x.*").filter("w > 0")
-    joined = each.join(pixels.select("row", "col", "z"), ["row", "col"], "left")
+    each = targets.select("tid", *by, F.explode(corners).alias("x")).select("tid", *by, "x.*").filter("w > 0")
+    joined = each.join(pixels.select(*by, "row", "col", "z"), [*by, "row", "col"], "left")
     whole = F.count("z") == F.count("*")
-    return joined.groupBy("tid").agg(F.when(whole, F.sum(F.col("w") * F.col("z"))).alias("z"))
+    return joined.groupBy("tid", *by).agg(F.when(whole, F.sum(F.col("w") * F.col("z"))).alias("z"))
+
+
+def warp(spark: SparkSession, pixels: DataFrame, sources: DataFrame, x: float, y: float, width: int, height: int, res: float, zone: int, north: bool = True) -> DataFrame:
+    """(row, col, dem) of a UTM grid, bilinear from tiles in degrees; the first tile (by priority) with a value wins.
+
+    sources: (priority, west, north, step, rows, columns) of each tile, few; pixels: (priority, row, col, z).
+    Every target pixel is placed in every tile that can cover it by arithmetic; only corners are joined.
+    """
+    col, row = F.col("id") % width, F.expr(f"id div {width}")
+    lon, lat = from_utm(F.lit(x) + (col + 0.5) * res, F.lit(y) - (row + 0.5) * res, zone, north)
+    targets = spark.range(width * height).select(F.col("id").alias("tid"), lon.alias("lon"), lat.alias("lat"))
+    places = []
+    for t in sources.orderBy("priority").collect():
+        r, c = (F.lit(t["north"]) - F.col("lat")) / t["step"] - 0.5, (F.col("lon") - F.lit(t["west"])) / t["step"] - 0.5
+        inside = r.between(-0.5, t["rows"] - 0.5) & c.between(-0.5, t["columns"] - 0.5)
+        hold = lambda v, n: F.least(F.lit(float(n - 1)), F.greatest(F.lit(0.0), v))
+        places.append(F.when(inside, F.struct(F.lit(t["priority"]).alias("priority"), hold(r, t["rows"]).alias("r"), hold(c, t["columns"]).alias("c"))))
+    spots = targets.select("tid", F.explode(F.array_compact(F.array(*places))).alias("s")).select("tid", "s.*")
+    found = bilinear(pixels, spots, ("priority",)).filter("z is not null").groupBy("tid").agg(F.min_by("z", "priority").alias("dem"))
+    every = targets.select("tid").join(found, "tid", "left")
+    return every.select(F.expr(f"cast(tid div {width} as int)").alias("row"), (F.col("tid") % width).cast("int").alias("col"), "dem")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.sun import daylight_table
 from tidewright.operators import hilo, series, stations, tiles
+from tidewright.plans import zones
 from tidewright.plans.config import RunConfig
 from tidewright.plans.domain import target_crs
 from tidewright.plans.estimate import estimate
@@ -177,12 +178,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             print(f"{config.output.run_id} is there already")
             return 0
         dem, grid = grids.read_pixels(spark, config.dem_path)
-        zones = grids.read_pixels(spark, config.zones_path) if config.zones_path else None
+        drawn = grids.read_pixels(spark, config.zones_path) if config.zones_path else None
         mask = grids.read_pixels(spark, config.mask_path) if config.mask_path else None
-        for other in filter(None, (zones, mask)):
+        for other in filter(None, (drawn, mask)):
             grids.same_shape(grid, other[1])
-        cells, width = grids.cells(dem, grid.width, zones and zones[0], mask and mask[0]), grid.width
-        records, interval, _ = water_levels(spark, config)
+        records, interval, gauges = water_levels(spark, config)
+        cells, width = grids.cells(dem, grid.width, drawn and drawn[0], mask and mask[0]), grid.width
+        if gauges is not None and drawn is not None and not zones.zones_current(spark, config.zones_path, gauges):
+            print("zones were drawn for other gauges; drawing them again")
+            cells = zones.draw_zones(cells, grid, gauges, config.target_crs or target_crs(config.domain))
         if args.quick_test:
             records = series.first_days(records, interval, args.quick_test)
         sim = Run(Inputs(cells, records, interval), Settings.of(config, daylight(spark, config)), config.output.run_id, grid.cell_area_m2(900.0), {"domain": config.domain.name, "crs": config.target_crs or target_crs(config.domain)})
@@ -219,6 +223,12 @@ def fetch(spark: SparkSession, args: argparse.Namespace) -> int:
     tables.write_csv(book, f"{g.cache_dir}/manifest_{config.domain.key}")
     for row in dropped.collect():
         print(f"dropped for want of an offset: {row['station_id']}")
+    if config.dem_path and config.zones_path:
+        gauges = book.filter("gauge_idx is not null")
+        if args.refresh or not zones.zones_current(spark, config.zones_path, gauges):
+            dem, grid = grids.read_pixels(spark, config.dem_path)
+            drawn = zones.draw_zones(grids.cells(dem, grid.width), grid, gauges, config.target_crs or target_crs(config.domain))
+            zones.write_zones(drawn, gauges, config.zones_path)
     regions = args.cudem_regions or [r[0] for r in tiles.regions_for(spark, config.domain.buffered(0)).collect()]
     print("tile regions:", ", ".join(sorted(regions)))
     return 0

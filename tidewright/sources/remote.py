@@ -5,12 +5,14 @@ The source yields (key, url, status, body); bodies are parsed by DataFrame expre
 
 from __future__ import annotations
 
+import shutil
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 from datetime import date, timedelta
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +90,29 @@ def cached(spark: SparkSession, path: str, requests: list[tuple[str, str]], refr
     return spark.read.parquet(path)
 
 
+def download(tiles: list[tuple[str, str, float | None]], folder: str, skip_existing: bool = True, pause_s: float = 0.0, tolerance: float = 0.05) -> list[str]:
+    """Files (name, url, size in MB) fetched one after another into a folder of the driver; their paths.
+
+    One whose size is within the tolerance is kept; a partial file never takes the name.
+    """
+    out = []
+    for name, url, size_mb in tiles:
+        path = Path(folder) / name
+        there = path.exists() and (size_mb is None or abs(path.stat().st_size / 1e6 - size_mb) <= tolerance * size_mb)
+        if not (skip_existing and there):
+            path.parent.mkdir(parents=True, exist_ok=True)
+            part = path.with_suffix(path.suffix + ".part")
+            try:
+                with urllib.request.urlopen(url, timeout=TIMEOUT_S) as got, part.open("wb") as to:  # noqa: S310
+                    shutil.copyfileobj(got, to)
+                part.replace(path)
+            finally:
+                part.unlink(missing_ok=True)
+            time.sleep(pause_s)
+        out.append(str(path))
+    return out
+
+
 def chunks(start: date, end: date, days: int = CHUNK_DAYS) -> list[tuple[date, date]]:
     """Closed stretches of at most so many days."""
     out = []
