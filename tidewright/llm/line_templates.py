@@ -28,7 +28,7 @@ from tidewright.llm.common import WORD, Workspace
 
 MIN_DOCS, LEADING, CONSTANT, MIN_TOKENS = 5, 3, 0.6, 3
 FIELD = "<*>"
-LAST = F.lit((1 << 63) - 1)
+LAST = (1 << 63) - 1
 
 
 def _masked(line: Column) -> Column:
@@ -44,7 +44,7 @@ def _lines(text: Column) -> Column:
 
 def _keys(doc_id: str, text: str) -> list[Column]:
     """A row's id, and a hash of id and text that tells rows of one id apart."""
-    return [F.coalesce(F.col(doc_id).cast("long"), LAST).alias("id"), F.xxhash64(F.col(text), F.col(doc_id)).alias("k")]
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text), F.col(doc_id)).alias("k")]
 
 
 def _entries(docs: DataFrame, doc_id: str, text: str, min_tokens: int, leading: int) -> DataFrame:
