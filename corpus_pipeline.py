@@ -7,6 +7,7 @@ documents.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,12 +54,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """What earlier stages left in the shared folder is freed first: their results are written by then."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with Workspace.stage(docs):
+            return function(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language ID", language),
-    ("line dedup", lines),
-    ("SimHash near-dedup", near_duplicates),
-    ("benchmark decontamination", benchmarks),
-    ("mixing", mix),
+    ("language ID", _stage(language)),
+    ("line dedup", _stage(lines)),
+    ("SimHash near-dedup", _stage(near_duplicates)),
+    ("benchmark decontamination", _stage(benchmarks)),
+    ("mixing", _stage(mix)),
 ]
 
 #: Hash-based vectors, XXH64 and template trees have no SQL; tests hold run() against a plain Python version.
@@ -69,8 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        last = docs
         docs = ws.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-        if last is not docs and hasattr(last, "work_table"):
-            ws.drop(last)
+        ws.close(docs)
     return docs

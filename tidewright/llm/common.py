@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +52,13 @@ class Workspace:
     no later step reads; close() frees all but the named ones.
     """
 
+    tracked: list[Workspace] = []
+    tracking = False
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        if Workspace.tracking:
+            Workspace.tracked.append(self)
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables: set[str] = set()
         self._n = 0
@@ -72,6 +79,22 @@ class Workspace:
     def close(self, *keep: DataFrame) -> None:
         for name in self.tables - {df.work_table for df in keep}:
             self._delete(name)
+        # Spark removes shuffle files when the driver's JVM finds their plans gone, by default every 30 minutes.
+        self.spark.sparkContext._jvm.System.gc()
+
+    @classmethod
+    @contextmanager
+    def stage(cls, docs: DataFrame) -> Iterator[None]:
+        """A pipeline's stage: frees what earlier stages left, as they are written, but not what docs is read from."""
+        read = docs.inputFiles()
+        for ws in cls.tracked:
+            if ws.spark is docs.sparkSession and not any(ws.path.split(":", 1)[-1] in f for f in read):
+                ws.close()
+        cls.tracking = True
+        try:
+            yield
+        finally:
+            cls.tracking = False
 
     def _delete(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm

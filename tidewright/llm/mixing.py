@@ -11,6 +11,7 @@ gives its first words only, so a source's words meet its budget (the target's wh
 Prefix sums are distributed: the key range is cut into buckets of about BUCKET rows of any source,
 bucket sums are added up on two levels, and only a bucket's own rows are sorted together. So a source
 with a third of all rows, or all, is no single task. Keys are md5 of seed and id: reruns agree.
+Documents are read twice, for the sums and for the mix, which moves each once, to its bucket.
 
 Defined cases: a null text has size 0. Sources go by code point, null last and a source of its own.
 Rows that share an id are ordered by size; equal rows are interchangeable. Texts without words take
@@ -55,8 +56,7 @@ def mixture(docs: DataFrame, keep: dict[str, Column], doc_id: str = "doc_id", te
         *[c.alias(n) for n, c in keep.items()], F.struct(F.col(doc_id).alias("id")).alias("__id"),
         F.col(source).alias("__source"), sk.alias("__sk"), key.alias("__key"), words(F.col(text)).alias("size"),
     )
-    rows = ws.save(rows, "rows")
-    n_buckets = max(1, -(-rows.count() // bucket))
+    n_buckets = max(1, -(-docs.count() // bucket))
     wide, many = -(-(1 << 60) // n_buckets), max(1, round(n_buckets**0.5))
     at = F.expr(f"cast(conv(substr(__key, 1, 15), 16, 10) as bigint) div {wide}")
     rows = rows.withColumn("__b", at)

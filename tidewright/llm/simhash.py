@@ -91,12 +91,14 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     index = fps.select("fp", F.explode(variants).alias("x")).select(F.col("x.j").alias("j"), F.col("x.rest").alias("rest"), "fp")
     a, b = index.alias("a"), index.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    # Equal on both sides; naming both keeps the optimizer from filtering one side only, so both share one exchange.
+    bit = F.greatest("a.j", "b.j")
     first = F.lit(False)
     before = F.lit(True)
     for (at, w), m in zip(parts, masks, strict=True):
-        here = F.col("a.j").between(at, at + w - 1)
+        here = bit.between(at, at + w - 1)
         differs = x.bitwiseAND(F.lit(_signed(m)))
-        first = first | (here & before & ((F.col("a.j") == at) | (differs != 0)))
+        first = first | (here & before & ((bit == at) | (differs != 0)))
         before = before & (F.bit_count(differs) > 1)
     same = (F.col("a.j") == F.col("b.j")) & (F.col("a.rest") == F.col("b.rest"))
     pair = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= distance) & first)
@@ -123,14 +125,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row of each component stays, whole: that with the smallest id (nulls last), the first of several."""
+    """One row of each component stays, whole: that with the smallest id (nulls last), and of that id the smallest hash."""
     ws = Workspace(docs.sparkSession, "simhash")
+    k = F.xxhash64(F.col(text), F.col(doc_id))
+    rows = ws.save(fingerprints(docs, text, {"doc_id": F.col(doc_id), "k": k}), "rows")
+    found = classes(rows, ws, distance)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")
+    ahead = rows.groupBy("fp").agg(first).join(found, "fp").groupBy("component_fp").agg(F.min("first").alias("first"))
+    winners = ws.save(ahead.select(F.struct("first.doc_id", "first.k").alias("__key")), "winners")
+    repeated = not rows.groupBy("doc_id", "k").count().filter("count > 1").isEmpty()
+    ws.close(winners)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(whole.alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    rows = ws.save(fingerprints(keyed, "text", {"row": F.col("row"), "doc_id": F.col("doc_id"), "rid": F.monotonically_increasing_id()}), "rows")
-    narrow = rows.select("doc_id", "fp", "rid")
-    found = classes(narrow, ws, distance)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    ahead = narrow.groupBy("fp").agg(first).join(found, "fp").groupBy("component_fp").agg(F.min("first").alias("first"))
-    winners = ws.save(ahead.select("first.rid"), "winners")
-    return rows.join(winners, "rid", "left_semi").select("row.*")
+    keyed = docs.select(whole.alias("__row"), F.struct(F.col(doc_id).alias("doc_id"), k.alias("k")).alias("__key"))
+    kept = keyed.join(winners.hint("merge"), "__key", "left_semi")
+    return (kept.dropDuplicates(["__key"]) if repeated else kept).select("__row.*")
