@@ -19,7 +19,8 @@ passage cost a row a span each. Word hashes are XXH3-128; span and window hashes
 64-bit polynomials of them, which is the verification: both must agree.
 
 Batches must come in rising order of ids: `smaller id` then is `earlier`. All steps are joins and sums
-on tables in the shared folder; groups are pre-summed, never gathered.
+on tables in the shared folder; groups are pre-summed, never gathered. Joins are sort-merge at every
+size, so that plans do not change as tables grow.
 
 Defined cases: null texts have no words. A text shorter than a window loses none. Rows that share an id
 do not count as earlier than one another. A null id counts as larger than any other.
@@ -38,7 +39,7 @@ from xxhash import xxh3_128_digest
 
 from tidewright.llm.common import Workspace
 
-WINDOW, ANCHOR, BATCHES, MAX_RUNS = 50, 25, 3, 2
+WINDOW, ANCHOR, BATCHES, MAX_RUNS = 50, 25, 2, 2
 LAST = (1 << 63) - 1
 BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 INVERSES = np.array([pow(int(b), -1, 1 << 64) for b in BASES], np.uint64)
@@ -164,24 +165,24 @@ class SubstringIndex:
         new = ws.save(found.groupBy("a", *key).agg(place, F.max("id").alias("most")), "new")
         if self.runs:
             held = self._held().select(*key, F.col("id").alias("held"))
-            new = ws.save(new.join(held, key, "left"), "new")
+            new = ws.save(new.join(held.hint("merge"), key, "left"), "new")
         else:
             new = new.withColumn("held", F.lit(None).cast("long"))
         repeated = new.filter(F.col("held").isNotNull() | (F.col("most") > F.col("place.id"))).select(*key, F.coalesce("held", "place.id").alias("since"))
         repeated = ws.save(repeated, "repeated")
-        whole = found.join(repeated, key).filter(F.col("id") > F.col("since")).select("id", "row", "first", "last")
+        whole = found.join(repeated.hint("merge"), key).filter(F.col("id") > F.col("since")).select("id", "row", "first", "last")
 
         fresh = self._write(new.filter("held is null").select("a", *key, "place.*"))
         every = fresh.withColumn("fresh", F.lit(True))
         if self.runs:
             every = every.unionAll(self._held().withColumn("fresh", F.lit(False)))
         shared = every.groupBy("a").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).filter((F.col("n") > 1) & F.col("any")).select("a")
-        needed = every.join(ws.save(shared, "shared"), "a").groupBy("id", "row").agg(F.collect_list(F.struct("first", "last", "fresh")).alias("parts"))
+        needed = every.join(ws.save(shared, "shared").hint("merge"), "a").groupBy("id", "row").agg(F.collect_list(F.struct("first", "last", "fresh")).alias("parts"))
         needed = ws.save(needed, "needed")
-        texts = store.select("id", "row", F.col("text").cast("binary").alias("text")).join(needed, ["id", "row"])
+        texts = store.select("id", "row", F.col("text").cast("binary").alias("text")).join(needed.hint("merge"), ["id", "row"])
         windows = ws.save(find_windows(texts.dropDuplicates(["id", "row"]), self.window), "windows")
         since = windows.groupBy("w1", "w2").agg(F.min("id").alias("since"), F.max("id").alias("most")).filter("most > since").select("w1", "w2", "since")
-        single = windows.filter("fresh").join(ws.save(since, "since"), ["w1", "w2"]).filter(F.col("id") > F.col("since"))
+        single = windows.filter("fresh").join(ws.save(since, "since").hint("merge"), ["w1", "w2"]).filter(F.col("id") > F.col("since"))
         out = ws.save(whole.unionAll(single.select("id", "row", "first", F.col("first").alias("last"))), "repeats")
 
         self.runs.append(fresh)
@@ -225,7 +226,7 @@ def deduplicated(docs: DataFrame, keep: dict[str, Column], doc_id: str = "doc_id
     parts = repeats(docs, doc_id, text, window=window, **options)
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.struct(*_key(doc_id, text)).alias("__key"), F.col(text).cast("binary").alias("__text"))
     parts = parts.select(F.struct("id", "row").alias("__key"), F.col("parts").alias("__parts"))
-    inner = rows.join(parts, "__key", "left").select("__text", "__parts", *[F.col(n) for n in keep])
+    inner = rows.join(parts.hint("merge"), "__key", "left").select("__text", "__parts", *[F.col(n) for n in keep])
     schema = inner.drop("__text", "__parts").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
     names = schema.names
 
