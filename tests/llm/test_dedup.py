@@ -83,13 +83,19 @@ def test_anchor_depends_on_the_window_only():
                 assert found.setdefault(p + cut, anchor) == anchor
 
 
-def fingerprint(text):
-    """The contract's rule, step by step."""
+def shingles_of(text, width):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in lowered.translate({i: " " for i in range(9, 14)}).split(" ") if w]
     if not words:
+        return []
+    return [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [" ".join(words)]
+
+
+def fingerprint(text, width=4):
+    """The contract's rule, step by step."""
+    shingles = shingles_of(text, width)
+    if not shingles:
         return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
     hashes = [xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -122,15 +128,15 @@ def test_links_are_found_at_every_distance(spark):
     base = [r.getrandbits(64) for _ in range(30)]
     every = set(base)
     for b in base:
-        for d in range(1, 7):
+        for d in range(1, 9):
             every.add(b ^ sum(1 << k for k in r.sample(range(64), d)))
     signed = [int(np.uint64(x).view(np.int64)) for x in every]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for distance in (2, 4, 5):
+    for distance in (2, 4, 5, 7):
         got = sorted((r["u"], r["v"]) for r in simhash.links(df, distance).collect())
         want = sorted((a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance)
         assert got == want
-    assert [len(simhash.segments(d)) for d in (1, 4, 5)] == [1, 3, 3]
+    assert [len(simhash.segments(d)) for d in (1, 4, 5, 7)] == [1, 3, 3, 4]
 
 
 def test_representatives(spark):
@@ -143,6 +149,21 @@ def test_representatives(spark):
     assert simhash.representatives(table(spark, [])).count() == 0
 
 
+def test_near_fingerprints_of_different_texts_stay(spark, monkeypatch):
+    """All fingerprints alike but for a few bits: only similar texts link."""
+    words = vocabulary(9, 120)
+    one, other = " ".join(words[:60]), " ".join(words[60:])
+    rows = [(1, one), (2, one + " more"), (3, other), (4, other.upper() + " x y")]
+    prints = {one: 0, one + " more": 1, other: 3, other.upper() + " x y": 7}
+
+    def fake(docs, text, keep, shingle=5, seed=42):
+        fp = F.create_map(*[F.lit(x) for kv in prints.items() for x in kv])[F.col(text)].cast("long")
+        return docs.select(*[c.alias(n) for n, c in keep.items()], fp.alias("fp"))
+
+    monkeypatch.setattr(simhash, "fingerprints", fake)
+    assert sorted(r["doc_id"] for r in simhash.representatives(table(spark, rows)).collect()) == [1, 3]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + k) for k in range(1, 60)] + [(5, 5), (2000, 2001), (2001, 2000)]
     ws = Workspace(spark, "test")

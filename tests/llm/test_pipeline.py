@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
-from test_dedup import brute_lines, fingerprint
+from test_dedup import brute_lines, fingerprint, shingles_of
 from test_others import SCHEMA, goals, reference_vector, terms, words
 
 import corpus_pipeline
@@ -41,11 +41,12 @@ def lines(rows):
 
 
 def one_of_each(rows):
-    prints = [fingerprint(r[1]) for r in rows]
+    prints, sets = [fingerprint(r[1], 5) for r in rows], [set(shingles_of(r[1], 5)) for r in rows]
     group = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
+            alike = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            if prints[a] == prints[b] or (alike and (prints[a] ^ prints[b]).bit_count() <= 7):
                 group = [group[b] if g == group[a] else g for g in group]
     least = {}
     for r, g in zip(rows, group, strict=True):
@@ -80,6 +81,9 @@ def test_pipeline_matches_a_plain_version(spark, tmp_path):
         rows.append((i, text, lang, f"src{i % 3}", len(text)))
         if i % 9 == 0:
             rows.append((200 + i, text, lang, None, len(text)))
+        if i % 10 == 0:
+            long = " ".join(r.choices(vocabulary[lang], k=150))
+            rows += [(300 + i, long, lang, "src1", len(long)), (400 + i, long + " end", lang, "src2", len(long) + 4)]
     rows += [(500, None, "aa", "x", 0), (501, "123 ###", None, "x", 7), (502, "", "bb", "src0", 0)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

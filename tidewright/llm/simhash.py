@@ -19,12 +19,13 @@ if all are null. Repeated rows are rows like others. Any table, empty ones too,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from xxhash import xxh64_intdigest
 
 from tidewright.llm.common import Workspace
@@ -32,6 +33,8 @@ from tidewright.llm.components import connected_components
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
 BLOCK = 1 << 16
+#: For a pipeline's stage: five-word shingles, four segments of 16 bits, verified similarity.
+STAGE_SHINGLE, STAGE_DISTANCE, SIMILARITY = 5, 7, 0.8
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -105,10 +108,11 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return pair.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
-def classes(rows: DataFrame, ws: Workspace, distance: int = DISTANCE) -> DataFrame:
-    """(fp, component_id, component_fp) of each distinct fingerprint, from rows (doc_id, fp)."""
+def classes(rows: DataFrame, ws: Workspace, distance: int = DISTANCE, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(fp, component_id, component_fp) of each distinct fingerprint, from rows (doc_id, fp). verify may drop links."""
     fps = ws.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    roots = connected_components(links(fps.select("fp"), distance), ws)
+    pairs = links(fps.select("fp"), distance)
+    roots = connected_components(verify(pairs) if verify else pairs, ws)
     placed = ws.save(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("component_fp")), "placed")
     ids = placed.groupBy("component_fp").agg(F.min("least").alias("component_id"))
     out = ws.save(placed.join(ids, "component_fp").select("fp", "component_id", "component_fp"), "classes")
@@ -124,18 +128,66 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row of each component stays, whole: that with the smallest id (nulls last), and of that id the smallest hash."""
+def shingle_sets(docs: DataFrame, text: str, keep: dict[str, Column], shingle: int, seed: int = SEED) -> DataFrame:
+    """The columns named in keep and `shingles`, the distinct hashes of the text's shingles."""
+    inner = docs.select(F.col(text).cast("binary").alias("__text"), *[c.alias(n) for n, c in keep.items()])
+    schema = inner.drop("__text").schema.add("shingles", ArrayType(LongType()))
+    names = schema.names
+
+    def hashes(data: bytes | None) -> np.ndarray:
+        words = (data or b"").lower().split()
+        width = min(shingle, len(words))
+        grams = (b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)) if words else ()
+        return np.unique(np.fromiter((xxh64_intdigest(g, seed) for g in grams), np.uint64)).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in range(0, batch.num_rows, 256):
+                part = batch.slice(b, 256)
+                sets = pa.array([hashes(t.as_py()) for t in part.column(0)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], sets], names=names)
+
+    return inner.mapInArrow(run, schema)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets (fp, shingles) have this Jaccard similarity or more."""
+    a, b = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b"))
+    joined = pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    return joined.filter(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = STAGE_DISTANCE, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each component stays, whole: that with the smallest id (nulls last), and of that id the smallest hash.
+
+    Texts of one fingerprint are one; others link if their fingerprints are near and, which is checked
+    exactly, their shingles' Jaccard similarity is enough. So a wider distance adds no false link. Of
+    similar texts, those whose fingerprints lie further apart are not found.
+    """
     ws = Workspace(docs.sparkSession, "simhash")
     k = F.xxhash64(F.col(text), F.col(doc_id))
-    rows = ws.save(fingerprints(docs, text, {"doc_id": F.col(doc_id), "k": k}), "rows")
-    found = classes(rows, ws, distance)
+    rows = ws.save(fingerprints(docs, text, {"doc_id": F.col(doc_id), "k": k}, shingle), "rows")
+    key = F.struct(F.col(doc_id).alias("doc_id"), k.alias("k"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = ws.save(pairs, "pairs")
+        ends = pairs.select(F.col("u").alias("fp")).unionAll(pairs.select(F.col("v").alias("fp"))).distinct()
+        places = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "k")).alias("__key")).join(ends, "fp")
+        places = ws.save(places, "places")
+        texts = docs.select(key.alias("__key"), F.col(text).alias("__t")).join(places.hint("merge"), "__key")
+        sets = ws.save(shingle_sets(texts, "__t", {"fp": F.col("fp")}, shingle).dropDuplicates(["fp"]), "sets")
+        found = ws.save(similar(pairs, sets, similarity), "links")
+        ws.drop(pairs, places, sets)
+        return found
+
+    found = classes(rows, ws, distance, verify)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")
     ahead = rows.groupBy("fp").agg(first).join(found, "fp").groupBy("component_fp").agg(F.min("first").alias("first"))
     winners = ws.save(ahead.select(F.struct("first.doc_id", "first.k").alias("__key")), "winners")
     repeated = not rows.groupBy("doc_id", "k").count().filter("count > 1").isEmpty()
     ws.close(winners)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(whole.alias("__row"), F.struct(F.col(doc_id).alias("doc_id"), k.alias("k")).alias("__key"))
+    keyed = docs.select(whole.alias("__row"), key.alias("__key"))
     kept = keyed.join(winners.hint("merge"), "__key", "left_semi")
     return (kept.dropDuplicates(["__key"]) if repeated else kept).select("__row.*")
