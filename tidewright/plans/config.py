@@ -19,6 +19,9 @@ class ConfigError(ValueError):
     """A configuration that cannot be run."""
 
 
+# The keys of the configuration file and their defaults, which existing files rely on.
+
+
 @dataclass
 class Gauges:
     source: str = "coops"
