@@ -128,15 +128,15 @@ def test_links_are_found_at_every_distance(spark):
     base = [r.getrandbits(64) for _ in range(30)]
     every = set(base)
     for b in base:
-        for d in range(1, 9):
+        for d in range(1, 11):
             every.add(b ^ sum(1 << k for k in r.sample(range(64), d)))
     signed = [int(np.uint64(x).view(np.int64)) for x in every]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for distance in (2, 4, 5, 7):
+    for distance in (2, 4, 5, 7, 9):
         got = sorted((r["u"], r["v"]) for r in simhash.links(df, distance).collect())
         want = sorted((a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance)
         assert got == want
-    assert [len(simhash.segments(d)) for d in (1, 4, 5, 7)] == [1, 3, 3, 4]
+    assert [len(simhash.segments(d)) for d in (1, 4, 5, 7, 9)] == [1, 3, 3, 4, 5]
 
 
 def test_representatives(spark):

@@ -46,7 +46,7 @@ def one_of_each(rows):
     for a in range(len(rows)):
         for b in range(a):
             alike = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-            if prints[a] == prints[b] or (alike and (prints[a] ^ prints[b]).bit_count() <= 7):
+            if prints[a] == prints[b] or (alike and (prints[a] ^ prints[b]).bit_count() <= 9):
                 group = [group[b] if g == group[a] else g for g in group]
     least = {}
     for r, g in zip(rows, group, strict=True):

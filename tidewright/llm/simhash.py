@@ -33,8 +33,8 @@ from tidewright.llm.components import connected_components
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
 BLOCK = 1 << 16
-#: For a pipeline's stage: five-word shingles, four segments of 16 bits, verified similarity.
-STAGE_SHINGLE, STAGE_DISTANCE, SIMILARITY = 5, 7, 0.8
+#: For a pipeline's stage: five-word shingles, five segments of 12 or 13 bits, verified similarity.
+STAGE_SHINGLE, STAGE_DISTANCE, SIMILARITY = 5, 9, 0.8
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
