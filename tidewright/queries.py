@@ -601,3 +601,112 @@ def date_windows(spark: SparkSession, sf: str) -> DataFrame:
     """F18"""
     day = F.to_date("o_orderdate")
     return read(spark, sf, "orders").select("o_orderkey", day.alias("day"), F.datediff(day, F.lit("1992-01-01").cast("date")).alias("n_days"), F.make_date(F.year(day), F.lit(12), F.lit(31)).alias("year_end"))
+
+
+# Shapes of tables, checks and results
+
+
+@register(sql("select rec, max(case when gauge = 1 then level end) as g1, max(case when gauge = 2 then level end) as g2, max(case when gauge = 3 then level end) as g3, max(case when gauge = 4 then level end) as g4, max(case when gauge = 5 then level end) as g5 from rec group by rec", "rec"))
+def series_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """K5: a column a gauge"""
+    wide = records(spark, sf).groupBy("rec").pivot("gauge", list(range(1, GAUGES + 1))).agg(F.first("level"))
+    return wide.toDF("rec", *[f"g{i}" for i in range(1, GAUGES + 1)])
+
+
+@register(sql("select gauge, rec, level from rec", "rec"))
+def series_long(spark: SparkSession, sf: str) -> DataFrame:
+    """And back"""
+    long = series_wide(spark, sf).unpivot("rec", [f"g{i}" for i in range(1, GAUGES + 1)], "name", "level")
+    return long.select(F.substring("name", 2, 9).cast("int").alias("gauge"), "rec", "level")
+
+
+@register(sql("select row, string_agg(cast(case when nodata then 0 else gauge end as varchar), ' ' order by col) as line from cells group by row", "cells"))
+def ascii_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """K6, K7: lines of a zone grid"""
+    from tidewright.sources.grids import ascii_rows as lines
+
+    zones = cells(spark, sf).select("row", "col", F.when(F.col("nodata"), 0).otherwise(F.col("gauge")).alias("z"))
+    return lines(zones, "z", "0")
+
+
+@register(sql("select gauge, count(*) as n from cells where gauge not in (select gauge from obs where rec < 24 and gauge < 4) group by gauge", "cells", "obs"))
+def cells_without_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells whose gauge has no record among some"""
+    known = observed(spark, sf).filter("rec < 24 and gauge < 4").select("gauge").distinct()
+    return cells(spark, sf).join(known, "gauge", "left_anti").groupBy("gauge").agg(F.count("*").alias("n"))
+
+
+@register(sql("select st.station_id, name, lat, lon, coalesce(kind, 'error') as record_type, coalesce(n, 0) as n_records, case when coalesce(n, 0) > 0 then row_number() over (partition by coalesce(n, 0) > 0 order by st.station_id) - 1 else -1 end as gauge_idx from st left join (select lpad(cast(gauge as varchar), 7, '0') as station_id, count(level) as n, case when count(level) * cast(100 as double) / 720 >= 80 then 'obs_6min' else 'empty' end as kind from rec group by gauge) using (station_id)", "st", "rec"))
+def station_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """J7, J8, D9, O2"""
+    key = F.lpad(F.col("gauge").cast("string"), 7, "0").alias("station_id")
+    long = records(spark, sf).select(key, "rec", "level")
+    kinds = stations.record_types(stations.coverage(long.withColumnRenamed("level", "v"), 30, 24), long.limit(0))
+    return stations.manifest(kinds.select("station_id", "record_type"), long, station_table(spark, sf)).drop("gap_pct").withColumn("gauge_idx", F.coalesce("gauge_idx", F.lit(-1)))
+
+
+@register(sql("select record_type, count(*) as n from (select case when count(*) * cast(100 as double) / 720 >= 95 then 'obs_6min' when gauge < 3 then 'pred_hilo' else 'empty' end as record_type from obs group by gauge) group by record_type", "obs"))
+def record_type_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A14"""
+    obs = observed(spark, sf).select(F.col("gauge").cast("string").alias("station_id"), F.col("level").alias("v"))
+    predicted = spark.createDataFrame([("1",), ("2",)], "station_id string")
+    return stations.record_types(stations.coverage(obs, 30, 24), predicted, 95.0).groupBy("record_type").agg(F.count("*").alias("n"))
+
+
+@register(sql("select station_id from st where offset_m is null", "st"))
+def stations_without_offset(spark: SparkSession, sf: str) -> DataFrame:
+    """X16, U4"""
+    return stations.split_usable(station_table(spark, sf))[1].select("station_id")
+
+
+@register(sql("select metric, key, cell_id, value from (select 'time_integrated' as metric, 'shallow_band' as key, cell_id, case when nodata then -9999 else cast(win_shallow_band as double) end as value from cells left join m using (cell_id) union all select 'area_available', 'shallow_band', cell_id, case when nodata then 255 else cast(win_shallow_band > 0 as double) end from cells left join m using (cell_id) union all select 'refugia_time', '0.5', cell_id, case when nodata then -9999 else cast(ref_0p50 as double) end from cells left join m using (cell_id) union all select 'never_submerged', '', cell_id, case when nodata then 255 else cast(never as double) end from cells left join (select cell_id, dem - max_ws >= 0 as never from base join ext using (gauge)) using (cell_id))", "held", "base", more=f"{_MIN}, {_EXT}"))
+def metrics_long(spark: SparkSession, sf: str) -> DataFrame:
+    """What is written for a run"""
+    from tidewright.sources.results import long_metrics
+
+    every = cells(spark, sf)
+    found = duration.inundation(every, _steps(spark, sf), WINDOWS, REFUGES, 60)
+    return long_metrics(every, found, "r", ["shallow_band"], [0.5], 30).select("metric", "key", "cell_id", "value")
+
+
+@register(sql("select gauge, us // 86400000000 as day, count(*) as n, min(cents) as low, max(cents) as high from ev group by all", "ev"))
+def tumbling_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch form of the streaming day window"""
+    rows = gauge_events(spark, sf).groupBy("gauge", F.window("ts", "1 day").alias("w"))
+    found = rows.agg(F.count("*").alias("n"), F.min("cents").alias("low"), F.max("cents").alias("high"))
+    return found.select("gauge", F.expr(f"(unix_micros(w.start) - {EPOCH}) div 86400000000").alias("day"), "n", "low", "high")
+
+
+@register(sql("select region, count(*) as n from parsed join (values ('FL', -84.5, 24.2, -79.8, 31.2), ('southeast', -82.0, 30.3, -78.5, 34.0), ('AL_nwFL', -88.6, 29.5, -84.0, 31.1)) r(region, xmin, ymin, xmax, ymax) on sw_lon < xmax and sw_lon + 0.25 > xmin and sw_lat < ymax and sw_lat + 0.25 > ymin group by region", "parsed"))
+def tiles_by_region(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles and regions that overlap"""
+    some = tiles.regions(spark).filter(F.col("region").isin("FL", "southeast", "AL_nwFL"))
+    x, y = F.col("sw_lon"), F.col("sw_lat")
+    near = (x < F.col("xmax")) & (x + 0.25 > F.col("xmin")) & (y < F.col("ymax")) & (y + 0.25 > F.col("ymin"))
+    return _parsed(spark, sf).join(some, near).groupBy("region").agg(F.count("*").alias("n"))
+
+
+@register(sql("select station_id, round((cast(station_id as int) % 7 - cast(station_id as int) % 5) * case when cast(station_id as int) % 2 = 0 then cast(0.3048 as double) else 1 end, 9) as offset_m from st", "st"))
+def json_datums(spark: SparkSession, sf: str) -> DataFrame:
+    """Published datums in JSON"""
+    from tidewright.sources.remote import parse_datums
+
+    k = F.col("station_id").cast("int")
+    body = F.format_string('{"units": "%s", "datums": [{"name": "NAVD88", "value": %d}, {"name": "MLLW", "value": %d}]}', F.when(k % 2 == 0, "feet").otherwise("meters"), k % 7, k % 5)
+    bodies = station_table(spark, sf).select(F.col("station_id").alias("key"), body.alias("body"))
+    return parse_datums(bodies).withColumn("offset_m", F.round("offset_m", 9))
+
+
+@register(sql("select station_id, t, v from (select cast(gauge as varchar) as station_id, ts as t, min(cents) as v from ev group by gauge, ts)", "ev"))
+def first_by_time(spark: SparkSession, sf: str) -> DataFrame:
+    """One observation a time"""
+    obs = gauge_events(spark, sf).select(F.col("gauge").cast("string").alias("station_id"), F.col("ts").alias("t"), F.col("cents").cast("string").alias("v"))
+    found = stations.first_by_time(obs.unionByName(obs.withColumn("v", F.lit("bad"))))
+    return found.select("station_id", F.col("t").cast("timestamp_ntz").alias("t"), F.col("v").cast("long").alias("v"))
+
+
+@register(sql("select cell_id, sum(win)::bigint as win, sum(ref)::bigint as ref from (select cell_id, rec // 24 as day, sum(case when dem - ws >= cast(-1.5 as double) and dem - ws <= 0 then 60 else 0 end) as win, sum(case when dem - ws < 0 and dem - ws >= cast(-0.5 as double) then 60 else 0 end) as ref from base join held using (gauge) group by cell_id, day) group by cell_id", "held", "base"))
+def days_add_up(spark: SparkSession, sf: str) -> DataFrame:
+    """A3: the sums of the days"""
+    daily = kernel_daily(spark, sf).groupBy("cell_id")
+    return daily.agg(F.sum("win_shallow_band").alias("win"), F.sum("ref_0p50").alias("ref"))
