@@ -125,17 +125,26 @@ def _stretch(dem: np.ndarray, ws: np.ndarray, low: float, high: float, strict: b
     return begin, np.maximum(begin, end)
 
 
-def minutes_search(cells: DataFrame, hist: DataFrame, windows: Windows, thresholds: list[float], timestep: int, by_day: bool = False) -> DataFrame:
-    """hist is collected; the caller has checked its size."""
-    table: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+def _sorted_levels(hist: DataFrame, by_day: bool, timestep: int) -> dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """By gauge and day: levels in order, and the minutes below each."""
     rows = hist.orderBy("gauge", *(["day"] if by_day else []), "ws").toArrow()
     gauge, ws, n = (rows[c].to_numpy() for c in ("gauge", "ws", "n"))
     day = rows["day"].to_numpy() if by_day else np.zeros(len(gauge), np.int32)
     cuts = np.flatnonzero(np.r_[True, (gauge[1:] != gauge[:-1]) | (day[1:] != day[:-1])]) if len(gauge) else np.array([], int)
+    table: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
     for a, b in zip(cuts, np.r_[cuts[1:], len(gauge)].astype(int), strict=True):
         table.setdefault(int(gauge[a]), {})[int(day[a])] = ws[a:b].copy(), np.r_[0, np.cumsum(n[a:b])] * timestep
+    return table
+
+
+def _bands(windows: Windows, thresholds: list[float]) -> list[tuple[float, float, bool]]:
+    return [(lo, hi, False) for lo, hi in windows.values()] + [(-t, 0.0, True) for t in thresholds]
+
+
+def minutes_search(cells: DataFrame, hist: DataFrame, windows: Windows, thresholds: list[float], timestep: int, by_day: bool = False) -> DataFrame:
+    """hist is collected; the caller has checked its size."""
+    table, bands = _sorted_levels(hist, by_day, timestep), _bands(windows, thresholds)
     names = list(metric_columns(windows, thresholds))
-    bands = [(lo, hi, False) for lo, hi in windows.values()] + [(-t, 0.0, True) for t in thresholds]
     schema = "cell_id long" + ", day int" * by_day + "".join(f", `{x}` long" for x in names)
     columns = ["cell_id", *(["day"] if by_day else []), *names]
 
@@ -156,18 +165,48 @@ def minutes_search(cells: DataFrame, hist: DataFrame, windows: Windows, threshol
     return cells.select(F.col("cell_id").cast("long").alias("cell_id"), "dem", F.col("gauge").cast("int").alias("gauge")).mapInArrow(run, schema)
 
 
+def _search_in_place(flagged: DataFrame, hist: DataFrame, windows: Windows, thresholds: list[float], timestep: int) -> DataFrame:
+    """Cells as they come, each with its minutes: no cell is joined or moved. Cells that are not active get 0."""
+    table, bands = _sorted_levels(hist, False, timestep), _bands(windows, thresholds)
+    rows = flagged.select("cell_id", "gauge", "dem", "never_submerged", "active")
+    schema = rows.drop("active").schema
+    for name in metric_columns(windows, thresholds):
+        schema = schema.add(name, "long")
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gauges, dems, active = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 4))
+            out = np.zeros((len(bands), batch.num_rows), np.int64)
+            for g in np.unique(gauges):
+                at = np.flatnonzero((gauges == g) & active)
+                for levels, total in table.get(int(g), {}).values():
+                    for k, (low, high, strict) in enumerate(bands):
+                        begin, end = _stretch(dems[at], levels, low, high, strict)
+                        out[k, at] = total[end] - total[begin]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, out)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def choose(hist: DataFrame, keys: list[str], plan: str) -> tuple[str, int]:
+    """The plan to take, and the number of levels."""
+    n = hist.count()
+    if plan == "auto":
+        groups = max(1, hist.select(*keys).distinct().count())
+        plan = "search" if n > FEW_LEVELS * groups and n * 24 <= SEARCH_BYTES else "levels"
+    if plan == "search" and n * 24 > SEARCH_BYTES:
+        raise ValueError(f"{n} levels are too many to send with every task; use the levels plan")
+    return plan, n
+
+
 def minutes(cells: DataFrame, steps: DataFrame, windows: Windows, thresholds: list[float], timestep: int, by_day: bool = False, plan: str = "auto") -> DataFrame:
     """(cell_id[, day], minutes by test) of usable cells. Without steps (all gaps) a cell has no row."""
     if plan == "naive":
         return minutes_naive(cells, steps, windows, thresholds, timestep, by_day)
     hist = histogram(steps, by_day).persist()
-    n = hist.count()
-    if plan == "auto":
-        groups = max(1, hist.select("gauge", *(["day"] if by_day else [])).distinct().count())
-        plan = "search" if n > FEW_LEVELS * groups and n * 24 <= SEARCH_BYTES else "levels"
+    plan, n = choose(hist, ["gauge", *(["day"] if by_day else [])], plan)
     if plan == "search":
-        if n * 24 > SEARCH_BYTES:
-            raise ValueError(f"{n} levels are too many to send with every task; use the levels plan")
         out = minutes_search(cells, hist, windows, thresholds, timestep, by_day)
         hist.unpersist()
         return out
@@ -175,19 +214,34 @@ def minutes(cells: DataFrame, steps: DataFrame, windows: Windows, thresholds: li
 
 
 def inundation(cells: DataFrame, series: DataFrame, windows: Windows, thresholds: list[float], timestep: int, daylight: DataFrame | None = None, exclusive: bool = False, by_day: bool = False, plan: str = "auto", pruned: bool = True) -> DataFrame:
-    """Minutes of every usable cell; cells that no step can satisfy are 0 without being looked at."""
-    base = usable(cells)
-    steps = lit_steps(series, timestep, daylight, exclusive)
+    """Minutes of every usable cell; cells that no step can satisfy are 0 without being looked at. By day, those have no rows.
+
+    With search, cells flow through as they are read. With levels, distinct beds are worked out and
+    joined back to the cells, which is the one join of the grid.
+    """
     from tidewright.operators.series import extremes
 
-    flagged = prune(base, extremes(series), windows, thresholds)
-    active = flagged.filter("active") if pruned else flagged
-    found = minutes(active, steps, windows, thresholds, timestep, by_day, plan)
-    names = list(metric_columns(windows, thresholds))
+    steps = lit_steps(series, timestep, daylight, exclusive)
+    flagged = prune(usable(cells), extremes(series), windows, thresholds)
+    if not pruned:
+        flagged = flagged.withColumn("active", F.lit(True))
+    active = flagged.filter("active")
     if by_day:
-        return found
-    zero = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names]
-    return flagged.select("cell_id", "gauge", "dem", "never_submerged").join(found, "cell_id", "left").select("cell_id", "gauge", "dem", "never_submerged", *zero)
+        return minutes(active, steps, windows, thresholds, timestep, True, plan)
+    names, keys = list(metric_columns(windows, thresholds)), ["cell_id"]
+    if plan == "naive":
+        found = minutes_naive(active, steps, windows, thresholds, timestep)
+    else:
+        hist = histogram(steps).persist()
+        plan, n = choose(hist, ["gauge"], plan)
+        if plan == "search":
+            out = _search_in_place(flagged, hist, windows, thresholds, timestep)
+            hist.unpersist()
+            return out
+        side, keys = F.broadcast(hist) if n <= BROADCAST_ROWS else hist, ["gauge", "dem"]
+        found = _sums(active.select(*keys).distinct().join(side, "gauge"), keys, metric_columns(windows, thresholds), timestep)
+    zero = [F.when(F.col("active"), F.coalesce(n, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias(n) for n in names]
+    return flagged.join(found, keys, "left").select("cell_id", "gauge", "dem", "never_submerged", *zero)
 
 
 def rasters(result: DataFrame, names: list[str], n_days: int, average: bool = True, total: bool = True) -> DataFrame:
