@@ -64,6 +64,26 @@ def test_substrings_match_brute_force(spark, batches):
     assert sorted([tuple(r)[:4] for r in got.collect()], key=str) == brute_substrings(rows, 50)
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_substrings_repeated_within_an_id(spark, batches):
+    """A span of which some windows are old, more than once in a text or in two texts of one id."""
+    words, rows = vocabulary(8, 400), []
+    for k in range(12):
+        r = random.Random(k)
+        x, y, c, d, e = (r.choices(words, k=10) for _ in range(5))
+        p = r.choices(words, k=r.randint(50, 80))
+        block = c + p + d
+        rows.append((10 * k, " ".join(x + p + y)))
+        if k % 2:
+            rows.append((10 * k + 1, " ".join(block + e + block + block)))
+        else:
+            rows += [(10 * k + 1, " ".join(block)), (10 * k + 1, " ".join(e + block)), (10 * k + 1, " ".join(e + block))]
+        rows.append((10 * k + 2, " ".join(p)))
+    rows += [(500, "so " * 60 + "it goes"), (501, "so " * 90 + "and so " * 40), (501, "so " * 52 + "and so " * 70)]
+    got = substrings.deduplicated(table(spark, rows), {"doc_id": F.col("doc_id")}, batches=batches)
+    assert sorted([tuple(r)[:4] for r in got.collect()], key=str) == brute_substrings(rows, 50)
+
+
 def test_substrings_small_windows_and_extra_columns(spark):
     rows = corpus(2, 40)
     docs = table(spark, rows).withColumnsRenamed({"lang": "parts", "source": "row"})

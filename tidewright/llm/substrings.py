@@ -12,7 +12,8 @@ there are more than MAX_RUNS. A batch is joined with the runs by sort-merge:
 1. A span that the index has, or an earlier row of the batch, is repeated with all its windows.
 2. A span seen for the first time can still share windows with other spans, but only with those of the
    same anchor. Of anchors with several spans, the windows are hashed one by one (128 bits) from
-   the texts that hold the spans first, and grouped; this settles where repeats begin and end.
+   the texts that hold the spans first, and grouped; this settles where repeats begin and end. All
+   places of a new span in its smallest id count, in one text or in several.
 
 So results are exact, window by window, while some 7 % of the windows are shuffled, and copies of a
 passage cost a row a span each. Word hashes are XXH3-128; span and window hashes are two independent
@@ -162,23 +163,31 @@ class SubstringIndex:
         ws, key = self.ws, ["s1", "s2"]
         found = ws.save(find_spans(batch, self.window, self.anchor), "spans")
         place = F.min(F.struct("id", "row", "first", "last")).alias("place")
-        new = ws.save(found.groupBy("a", *key).agg(place, F.max("id").alias("most")), "new")
+        # The last place in the smallest id: another one if that id has the span more than once.
+        end = F.max(F.struct(F.bitwise_not("id").alias("down"), "row", "first", "last")).alias("end")
+        several = (F.struct("place.row", "place.first", "place.last") != F.struct("end.row", "end.first", "end.last")).alias("several")
+        new = found.groupBy("a", *key).agg(place, F.max("id").alias("most"), end).select("a", *key, "place", "most", several)
+        new = ws.save(new, "new")
         if self.runs:
             held = self._held().select(*key, F.col("id").alias("held"))
             new = ws.save(new.join(held.hint("merge"), key, "left"), "new")
         else:
             new = new.withColumn("held", F.lit(None).cast("long"))
         repeated = new.filter(F.col("held").isNotNull() | (F.col("most") > F.col("place.id"))).select(*key, F.coalesce("held", "place.id").alias("since"))
-        repeated = ws.save(repeated, "repeated")
-        whole = found.join(repeated.hint("merge"), key).filter(F.col("id") > F.col("since")).select("id", "row", "first", "last")
 
-        fresh = self._write(new.filter("held is null").select("a", *key, "place.*"))
+        fresh = self._write(new.filter("held is null").select("a", *key, "place.*", "several"))
         every = fresh.withColumn("fresh", F.lit(True))
         if self.runs:
             every = every.unionAll(self._held().withColumn("fresh", F.lit(False)))
         shared = every.groupBy("a").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).filter((F.col("n") > 1) & F.col("any")).select("a")
-        needed = every.join(ws.save(shared, "shared").hint("merge"), "a").groupBy("id", "row").agg(F.collect_list(F.struct("first", "last", "fresh")).alias("parts"))
-        needed = ws.save(needed, "needed")
+        chosen = ws.save(every.join(ws.save(shared, "shared").hint("merge"), "a").drop("a"), "chosen")
+        again = chosen.filter("fresh and several").select(*key, F.col("id").alias("since"), F.lit(True).alias("again"))
+        marks = ws.save(repeated.withColumn("again", F.lit(False)).unionAll(again), "repeated")
+        here = F.when(F.col("again"), F.col("id") == F.col("since")).otherwise(F.col("id") > F.col("since"))
+        places = ws.save(found.join(marks.hint("merge"), key).filter(here).select("id", "row", "first", "last", "again"), "places")
+        whole = places.filter("not again").drop("again")
+        parts = chosen.select("id", "row", "first", "last", "fresh").unionAll(places.filter("again").withColumnRenamed("again", "fresh"))
+        needed = ws.save(parts.groupBy("id", "row").agg(F.collect_set(F.struct("first", "last", "fresh")).alias("parts")), "needed")
         texts = store.select("id", "row", F.col("text").cast("binary").alias("text")).join(needed.hint("merge"), ["id", "row"])
         windows = ws.save(find_windows(texts.dropDuplicates(["id", "row"]), self.window), "windows")
         since = windows.groupBy("w1", "w2").agg(F.min("id").alias("since"), F.max("id").alias("most")).filter("most > since").select("w1", "w2", "since")
