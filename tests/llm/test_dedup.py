@@ -169,6 +169,24 @@ def test_representatives(spark):
     assert simhash.representatives(table(spark, [])).count() == 0
 
 
+def test_representatives_match_jaccard_alone(spark):
+    """Near copies of similarity 0.8 or more go however far apart their fingerprints are."""
+    r, words, rows = random.Random(12), vocabulary(12, 500), []
+    for i in range(80):
+        text = r.choices(words, k=r.choice([60, 120, 300]))
+        near = list(text)
+        for at in r.sample(range(len(near)), len(near) // (60 if i % 4 else 30)):
+            near[at] = "changed"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(near))]
+    sets = [set(shingles_of(t, 5)) for _, t in rows]
+    prints = [fingerprint(t, 5) for _, t in rows]
+    alike = [len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1]) for k in range(0, len(rows), 2)]
+    far = [(prints[k] ^ prints[k + 1]).bit_count() > 9 for k in range(0, len(rows), 2)]
+    assert sum(a and f for a, f in zip(alike, far, strict=True)) > 5 and not all(alike)
+    want = sorted(i for i, _ in rows if i % 2 == 0 or not alike[i // 2])
+    assert sorted(x["doc_id"] for x in simhash.representatives(table(spark, rows)).collect()) == want
+
+
 def test_near_fingerprints_of_different_texts_stay(spark, monkeypatch):
     """All fingerprints alike but for a few bits: only similar texts link."""
     words = vocabulary(9, 120)
