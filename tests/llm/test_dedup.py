@@ -187,19 +187,56 @@ def test_representatives_match_jaccard_alone(spark):
     assert sorted(x["doc_id"] for x in simhash.representatives(table(spark, rows)).collect()) == want
 
 
-def test_near_fingerprints_of_different_texts_stay(spark, monkeypatch):
-    """All fingerprints alike but for a few bits: only similar texts link."""
-    words = vocabulary(9, 120)
-    one, other = " ".join(words[:60]), " ".join(words[60:])
-    rows = [(1, one), (2, one + " more"), (3, other), (4, other.upper() + " x y")]
-    prints = {one: 0, one + " more": 1, other: 3, other.upper() + " x y": 7}
-
-    def fake(docs, text, keep, shingle=5, seed=42):
-        fp = F.create_map(*[F.lit(x) for kv in prints.items() for x in kv])[F.col(text)].cast("long")
-        return docs.select(*[c.alias(n) for n, c in keep.items()], fp.alias("fp"))
-
-    monkeypatch.setattr(simhash, "fingerprints", fake)
-    assert sorted(r["doc_id"] for r in simhash.representatives(table(spark, rows)).collect()) == [1, 3]
+def test_candidates_are_checked(spark, monkeypatch):
+    """All texts with one fingerprint and one salt: only similar ones link, and all of these."""
+    r, words, rows = random.Random(13), vocabulary(13, 500), []
+    for i in range(12):
+        text = r.choices(words, k=60)
+        rows += [(10 * i + k, " ".join([*text, *r.choices(words, k=3 * k)])) for k in range(4)]
+    real = simhash.signatures
+
+    def fake(*args, **options):
+        return real(*args, **options).withColumns({"fp": F.lit(0).cast("long"), "salts": F.array(*[F.lit(0).cast("long")] * simhash.STAGE_PARTS)})
+
+    monkeypatch.setattr(simhash, "signatures", fake)
+    assert sorted(x["doc_id"] for x in simhash.representatives(table(spark, rows)).collect()) == jaccard_representatives(rows)
+
+
+def jaccard_representatives(rows, similarity=0.8):
+    sets = [set(shingles_of(t, 5)) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        least[g] = min(i, least.get(g, i))
+    return sorted(least.values())
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Chains of similar texts, many of them not similar to one another, beside texts that are like none."""
+    r, words, rows = random.Random(14), vocabulary(14, 600), []
+    base = r.choices(words, k=150)
+    for i in range(150):
+        text = list(base)
+        for at in r.sample(range(150), r.randint(0, 7)):
+            text[at] = f"{text[at]}x{r.randint(0, 3)}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(r.choices(words, k=r.choice([6, 7, 40])))) for i in range(30)] + [(2000 + i, rows[i][1].upper()) for i in range(5)]
+    want = jaccard_representatives(rows)
+    assert 40 < len(want) < 160
+    assert sorted(x["doc_id"] for x in simhash.representatives(table(spark, rows)).collect()) == want
+
+
+def test_stage_on_an_empty_table_and_clashing_names(spark):
+    names = ["node", "fp", "salts", "__t", "key", "root", "first"]
+    docs = table(spark, [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, None), (None, "a b c d e f g h")]).withColumns({n: F.lit("x") for n in names})
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect()) == [1, 3]
+    assert simhash.representatives(docs.limit(0)).count() == 0
+    assert simhash.near_duplicates(docs).count() == 4 and simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_components_of_a_chain_and_a_star(spark):

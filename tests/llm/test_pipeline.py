@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
-from test_dedup import brute_lines, fingerprint, shingles_of
+from test_dedup import brute_lines, jaccard_representatives
 from test_others import SCHEMA, goals, reference_vector, terms, words
 
 import corpus_pipeline
@@ -41,17 +41,8 @@ def lines(rows):
 
 
 def one_of_each(rows):
-    prints, sets = [fingerprint(r[1], 5) for r in rows], [set(shingles_of(r[1], 5)) for r in rows]
-    group = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            alike = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-            if prints[a] == prints[b] or (alike and (prints[a] ^ prints[b]).bit_count() <= 9):
-                group = [group[b] if g == group[a] else g for g in group]
-    least = {}
-    for r, g in zip(rows, group, strict=True):
-        least[g] = min(least.get(g, r[0]), r[0])
-    return [r for r, g in zip(rows, group, strict=True) if r[0] == least[g]]
+    kept = set(jaccard_representatives([(r[0], r[1]) for r in rows]))
+    return [r for r in rows if r[0] in kept]
 
 
 def clean(rows, items):

@@ -19,6 +19,7 @@ if all are null. Repeated rows are rows like others. Any table, empty ones too,
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,10 +34,11 @@ from tidewright.llm.components import connected_components
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
 BLOCK = 1 << 16
-#: For a pipeline's stage: five-word shingles, five segments of 12 or 13 bits, verified similarity.
-STAGE_SHINGLE, STAGE_DISTANCE, SIMILARITY = 5, 9, 0.8
-#: The stage's second source of candidates: bands of least hashes; texts of similarity s share one but for (1 - s^DEPTH)^BANDS.
-BANDS, DEPTH, BAND_BLOCK = 20, 4, 1 << 12
+#: For a pipeline's stage: five-word shingles, verified similarity, eight segments of 8 bits, each salted with two least hashes.
+STAGE_SHINGLE, SIMILARITY, STAGE_PARTS, DEPTH, SALT_BLOCK = 5, 0.8, 8, 2, 1 << 14
+#: Words of the wide fingerprint, and how many standard deviations beyond its expected distance a pair is still checked;
+#: sets of under FEW shingles are always checked, as their fingerprints scatter more.
+WIDE, SPREAD, FEW, WIDE_BLOCK = 32, 3, 8, 512
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -110,11 +112,10 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return pair.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
-def classes(rows: DataFrame, ws: Workspace, distance: int = DISTANCE, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(fp, component_id, component_fp) of each distinct fingerprint, from rows (doc_id, fp). verify may drop links."""
+def classes(rows: DataFrame, ws: Workspace, distance: int = DISTANCE) -> DataFrame:
+    """(fp, component_id, component_fp) of each distinct fingerprint, from rows (doc_id, fp)."""
     fps = ws.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    pairs = links(fps.select("fp"), distance)
-    roots = connected_components(verify(pairs) if verify else pairs, ws)
+    roots = connected_components(links(fps.select("fp"), distance), ws)
     placed = ws.save(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("component_fp")), "placed")
     ids = placed.groupBy("component_fp").agg(F.min("least").alias("component_id"))
     out = ws.save(placed.join(ids, "component_fp").select("fp", "component_id", "component_fp"), "classes")
@@ -130,112 +131,187 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, text: str, keep: dict[str, Column], shingle: int, seed: int = SEED) -> DataFrame:
-    """The columns named in keep and `shingles`, the distinct hashes of the text's shingles."""
+def shingle_hashes(data: bytes | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the text's shingles, in order; none without a word."""
+    words = (data or b"").lower().split()
+    width = min(shingle, len(words))
+    grams = (b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)) if words else ()
+    return np.fromiter((xxh64_intdigest(g, seed) for g in grams), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the rows' hashes, as words of 64 bits."""
+    counts = np.zeros(BITS * hashes.shape[1], np.int64)
+    for b in range(0, len(hashes), BLOCK // hashes.shape[1]):
+        part = np.ascontiguousarray(hashes[b : b + BLOCK // hashes.shape[1]], "<u8")
+        counts += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+def salts(hashes: np.ndarray, parts: int, seed: int = SEED) -> np.ndarray:
+    """For each segment a hash of the least values of DEPTH hash functions over the shingles."""
+    random = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, (3, parts * DEPTH, 1), np.uint64)
+    times, plus, mix = 2 * random[0] + 1, random[1], 2 * random[2, :, 0] + 1
+    least = np.full(parts * DEPTH, (1 << 64) - 1, np.uint64)
+    for b in range(0, len(hashes), SALT_BLOCK):
+        mixed = hashes[b : b + SALT_BLOCK] * times + plus
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
+    return (least * mix).reshape(parts, DEPTH).sum(axis=1, dtype=np.uint64)
+
+
+def signatures(docs: DataFrame, text: str, keep: dict[str, Column], shingle: int, parts: int, seed: int = SEED) -> DataFrame:
+    """The columns named in keep, `node` (a hash of the text's words), `fp` and `salts` (null without a word)."""
     inner = docs.select(F.col(text).cast("binary").alias("__text"), *[c.alias(n) for n, c in keep.items()])
-    schema = inner.drop("__text").schema.add("shingles", ArrayType(LongType()))
+    schema = inner.drop("__text").schema.add("node", "long").add("fp", "long").add("salts", ArrayType(LongType()))
     names = schema.names
 
-    def hashes(data: bytes | None) -> np.ndarray:
-        words = (data or b"").lower().split()
-        width = min(shingle, len(words))
-        grams = (b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)) if words else ()
-        return np.unique(np.fromiter((xxh64_intdigest(g, seed) for g in grams), np.uint64)).view(np.int64)
+    def signed(data: bytes | None) -> tuple[int, int, list[int] | None]:
+        node = xxh64_intdigest(b" ".join((data or b"").lower().split()), seed)
+        hashes = shingle_hashes(data, shingle, seed)
+        if not len(hashes):
+            return _signed(node), 0, None
+        return _signed(node), int(majority(hashes[:, None]).view(np.int64)[0]), salts(hashes, parts, seed).view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in range(0, batch.num_rows, 256):
-                part = batch.slice(b, 256)
-                sets = pa.array([hashes(t.as_py()) for t in part.column(0)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], sets], names=names)
+            found = [signed(t.as_py()) for t in batch.column(0)]
+            node, fp, salt = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(salt, pa.list_(pa.int64()))], names=names)
 
     return inner.mapInArrow(run, schema)
 
 
-def band_hashes(data: bytes | None, shingle: int, seed: int = SEED) -> np.ndarray:
-    """BANDS hashes, each of the least values of DEPTH hash functions over the text's shingles; none without a word."""
-    words = (data or b"").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    width = min(shingle, len(words))
-    random = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, (3, BANDS * DEPTH, 1), np.uint64)
-    times, plus, mix = 2 * random[0] + 1, random[1], 2 * random[2, :, 0] + 1
-    least = np.full(BANDS * DEPTH, (1 << 64) - 1, np.uint64)
-    n = len(words) - width + 1
-    for b in range(0, n, BAND_BLOCK):
-        grams = (b" ".join(words[i : i + width]) for i in range(b, min(n, b + BAND_BLOCK)))
-        hashes = np.fromiter((xxh64_intdigest(g, seed) for g in grams), np.uint64)
-        least = np.minimum(least, (hashes * times + plus).min(axis=1))
-    return (least * mix).reshape(BANDS, DEPTH).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def banded(docs: DataFrame, text: str, keep: dict[str, Column], shingle: int, seed: int = SEED) -> DataFrame:
-    """The columns named in keep, the text as `text`, and `bands`."""
-    inner = docs.select(F.col(text).cast("binary").alias("text"), *[c.alias(n) for n, c in keep.items()])
-    schema = StructType([*inner.schema.fields, StructField("bands", ArrayType(LongType()))])
+def shingle_sets(docs: DataFrame, text: str, node: Column, shingle: int, wide: int, seed: int = SEED) -> DataFrame:
+    """node, `shingles` (the distinct hashes of the text's shingles), and w0, w1, ...: a fingerprint of `wide` words of 64 bits."""
+    inner = docs.select(F.col(text).cast("binary").alias("__text"), node.alias("node"))
+    schema = StructType([StructField("node", LongType()), StructField("shingles", ArrayType(LongType())), *[StructField(f"w{i}", LongType()) for i in range(wide)]])
     names = schema.names
+    random = np.random.Generator(np.random.PCG64(seed + 1)).integers(0, 1 << 63, (2, 1, wide), np.uint64)
+    times, more = 2 * random[0] + 1, 2 * random[1] + 1
+
+    def widened(hashes: np.ndarray) -> np.ndarray:
+        counts = np.zeros(BITS * wide, np.int64)
+        for b in range(0, len(hashes), WIDE_BLOCK):
+            mixed = (hashes[b : b + WIDE_BLOCK, None] ^ (hashes[b : b + WIDE_BLOCK, None] >> np.uint64(29))) * times
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * more
+            mixed ^= mixed >> np.uint64(29)
+            counts += np.unpackbits(np.ascontiguousarray(mixed, "<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8").view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands = pa.array([band_hashes(t.as_py(), shingle, seed) for t in batch.column(0)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, bands], names=names)
+            for b in range(0, batch.num_rows, 256):
+                part = batch.slice(b, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle, seed)) for t in part.column(0)]
+                prints = np.array([widened(s) for s in sets]).reshape(len(sets), wide)
+                shingles = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(1), shingles, *[pa.array(np.ascontiguousarray(prints[:, i])) for i in range(wide)]], names=names)
 
     return inner.mapInArrow(run, schema)
 
 
-def band_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v), u < v: fingerprints of different roots whose first texts share a band, from rows (fp, doc_id, k, bands)."""
-    bands = rows.groupBy("fp").agg(F.min_by("bands", F.struct("doc_id", "k")).alias("bands"))
-    rooted = bands.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    index = rooted.select("fp", "root", F.posexplode("bands").alias("at", "band"))
-    a, b = index.alias("a"), index.alias("b")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.at") == F.col("b.at"))
-    pair = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root")))
-    return pair.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
-
-
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets (fp, shingles) have this Jaccard similarity or more."""
-    a, b = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b"))
+    """The pairs (u, v) whose shingle sets (node, shingles) have this Jaccard similarity or more."""
+    a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     joined = pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v")
     both = F.size(F.array_intersect("a", "b"))
     return joined.filter(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = STAGE_DISTANCE, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _salted(nodes: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+    """(node, seg, lead, key): a node's one-wildcard variants of each segment, each with the segment's salt; lead marks its first."""
+    variants = [
+        F.struct(F.lit(i).alias("seg"), F.lit(j == a).alias("lead"), F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(_signed((((1 << w) - 1) << a) & ~(1 << j)))), F.col("salts")[i]).alias("key"))
+        for i, (a, w) in enumerate(parts) for j in range(a, a + w)
+    ]
+    return nodes.filter("salts is not null").select("node", F.explode(F.array(*variants)).alias("x")).select("node", "x.seg", "x.lead", "x.key")
+
+
+def _first_meeting(parts: list[tuple[int, int]]) -> Column:
+    """Whether the key at hand (a's seg, mask, lead) is the first that rows a and b (fp, s0, s1, ...) have in common."""
+    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    first = F.lit(len(parts))
+    for i, (at, w) in reversed(list(enumerate(parts))):
+        meets = (F.col(f"a.s{i}") == F.col(f"b.s{i}")) & (F.bit_count(x.bitwiseAND(F.lit(_signed(((1 << w) - 1) << at)))) <= 1)
+        first = F.when(meets, i).otherwise(first)
+    return (F.col("a.lead") | (x.bitwiseAND(F.col("a.mask")) != 0)) & (first == F.col("a.seg"))
+
+
+def similar_nodes(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], ws: Workspace, similarity: float = SIMILARITY, parts: int = STAGE_PARTS, wide: int = WIDE) -> DataFrame:
+    """(node, root) of the nodes (node, fp, salts) that are linked to others; sets gives shingle_sets of some nodes.
+
+    A group of n near copies has about n^2 links, so not all are made. First each node is held against
+    the least node that it shares a variant with. Then, of variants that still hold nodes of different
+    components, all pairs across components are held against each other: no link between components is
+    left out, and within one none is needed. Pairs whose wide fingerprints are too far apart are dropped
+    in the join itself; the others' sets are compared exactly.
+    """
+    cut = [(BITS * i // parts, BITS * (i + 1) // parts - BITS * i // parts) for i in range(parts)]
+    index = _salted(nodes, cut)
+    hubs = index.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub < most").select("key", "hub")
+    members = ws.save(index.join(hubs, "key"), "members")
+    known = ws.save(sets(members.select("node").distinct()), "sets")
+    prints = [f"w{i}" for i in range(wide)]
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = int(BITS * wide * angle + SPREAD * (BITS * wide * angle * (1 - angle)) ** 0.5)
+
+    def apart(a: str, b: str) -> Column:
+        return functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in prints])
+
+    spokes = members.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    def close(a: str, b: str) -> Column:
+        return (apart(a, b) <= most) | (F.col(f"{a}.n") < FEW) | (F.col(f"{b}.n") < FEW)
+
+    sketch = known.select("node", F.size("shingles").alias("n"), *prints)
+    a, b = sketch.alias("a"), sketch.alias("b")
+    near = spokes.join(a.hint("merge"), F.col("u") == F.col("a.node")).join(b.hint("merge"), F.col("v") == F.col("b.node")).filter(close("a", "b")).select("u", "v")
+    found = ws.save(similar(ws.save(near, "near"), known, similarity), "links")
+    roots = connected_components(found, ws)
+
+    rooted = members.join(roots.hint("merge"), "node", "left").select("key", "seg", "lead", "node", F.coalesce("root", "node").alias("root"))
+    rooted = ws.save(rooted, "rooted")
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    masks = F.element_at(F.array(*[F.lit(_signed(((1 << w) - 1) << at)) for at, w in cut]), F.col("seg") + 1)
+    signed = nodes.select("node", "fp", *[F.col("salts")[i].alias(f"s{i}") for i in range(parts)])
+    contested = rooted.join(open_keys.hint("merge"), "key").withColumn("mask", masks).join(signed.hint("merge"), "node").join(sketch.hint("merge"), "node")
+    contested = ws.save(contested, "contested")
+    a, b = contested.alias("a"), contested.alias("b")
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    pairs = a.join(b.hint("merge"), across & _first_meeting(cut) & close("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    more = ws.save(similar(ws.save(pairs, "pairs"), known, similarity), "more")
+    # Components are joined by their roots.
+    ends = more.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(roots.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")
+    tops = connected_components(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).distinct(), ws)
+    every = roots.unionAll(tops.select("node", F.col("node").alias("root"))).dropDuplicates(["node"])
+    return ws.save(every.join(tops.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "similar")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each component stays, whole: that with the smallest id (nulls last), and of that id the smallest hash.
 
-    Texts of one fingerprint are one; others link if they are candidates and, which is checked exactly,
-    their shingles' Jaccard similarity is enough. Candidates are near fingerprints and, where these leave
-    texts in different components, texts that share a band: of pairs at 0.8, 3 in 100,000 share none.
+    Texts of the same words (A-Z lower-cased) are one node. Others link if their shingles' Jaccard
+    similarity is enough, which is checked exactly for every link. Candidates share a segment of the
+    fingerprint but for one bit at most, and the segment's salt, a hash of DEPTH least values of hash
+    functions over their shingles: texts without a shingle in common never meet, however many there are.
+    Of two texts at similarity 0.8, a segment differs by at most one bit for 65 % and its salt agrees
+    for 64 %, so that one of eight such keys agrees for 98.7 % or more, and all do nearly above.
     """
     ws = Workspace(docs.sparkSession, "simhash")
     k = F.xxhash64(F.col(text), F.col(doc_id))
-    texts = banded(docs, text, {"doc_id": F.col(doc_id), "k": k}, shingle)
-    rows = ws.save(fingerprints(texts, "text", {c: F.col(c) for c in ("doc_id", "k", "bands")}, shingle), "rows")
+    rows = ws.save(signatures(docs, text, {"doc_id": F.col(doc_id), "k": k}, shingle, STAGE_PARTS), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")
+    nodes = ws.save(rows.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("salts").alias("salts")), "nodes")
+    repeated = not rows.groupBy("doc_id", "k").count().filter("count > 1").isEmpty()
     key = F.struct(F.col(doc_id).alias("doc_id"), k.alias("k"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = ws.save(pairs, "pairs")
-        ends = pairs.select(F.col("u").alias("fp")).unionAll(pairs.select(F.col("v").alias("fp"))).distinct()
-        places = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "k")).alias("__key")).join(ends, "fp")
-        places = ws.save(places, "places")
+    def sets(wanted: DataFrame) -> DataFrame:
+        places = ws.save(nodes.join(wanted, "node", "left_semi").select("node", F.struct("first.doc_id", "first.k").alias("__key")), "places")
         texts = docs.select(key.alias("__key"), F.col(text).alias("__t")).join(places.hint("merge"), "__key")
-        sets = ws.save(shingle_sets(texts, "__t", {"fp": F.col("fp")}, shingle).dropDuplicates(["fp"]), "sets")
-        found = ws.save(similar(pairs, sets, similarity), "links")
-        ws.drop(pairs, places, sets)
-        return found
-
-    def complete(pairs: DataFrame) -> DataFrame:
-        near = verify(pairs)
-        roots = connected_components(near, ws)
-        return near.unionAll(verify(band_pairs(rows, roots)))
+        return shingle_sets(texts.dropDuplicates(["node"]) if repeated else texts, "__t", F.col("node"), shingle, WIDE)
 
-    found = classes(rows, ws, distance, complete)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")
-    ahead = rows.groupBy("fp").agg(first).join(found, "fp").groupBy("component_fp").agg(F.min("first").alias("first"))
+    found = similar_nodes(nodes, sets, ws, similarity)
+    ahead = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     winners = ws.save(ahead.select(F.struct("first.doc_id", "first.k").alias("__key")), "winners")
-    repeated = not rows.groupBy("doc_id", "k").count().filter("count > 1").isEmpty()
     ws.close(winners)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(whole.alias("__row"), key.alias("__key"))
