@@ -277,7 +277,12 @@ def similar_nodes(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], ws:
     contested = ws.save(contested, "contested")
     a, b = contested.alias("a"), contested.alias("b")
     across = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    pairs = a.join(b.hint("merge"), across & _first_meeting(cut) & close("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    meet = across & _first_meeting(cut)
+    pairs = a.join(b.hint("merge"), meet & (apart("a", "b") <= most))
+    # A set of under FEW shingles is similar to none of 2 FEW or more.
+    small, other = (contested.filter(F.col("n") < 2 * FEW).alias(x) for x in ("a", "b"))
+    few = small.join(other.hint("merge"), meet & (F.least("a.n", "b.n") < FEW) & (apart("a", "b") > most))
+    pairs = pairs.unionAll(few).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     more = ws.save(similar(ws.save(pairs, "pairs"), known, similarity), "more")
     # Components are joined by their roots.
     ends = more.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(roots.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")
