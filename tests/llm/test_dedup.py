@@ -247,39 +247,36 @@ def test_components_of_a_chain_and_a_star(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long"), Workspace(spark, "none")).count() == 0
 
 
-def brute_lines(rows, min_docs=5, constant=0.6):
+def brute_lines(rows, min_docs=5, constant=0.6, rare=50):
     def mask(line):
         return tuple("<*>" if any("0" <= c <= "9" for c in t) else t for t in line.split())
 
     texts = [(1 << 63 if i is None else i, None if t is None else t.split("\n")) for i, t in rows]
-    entries = [(i, k, m) for k, (i, ls) in enumerate(texts) for m in {mask(x) for x in ls or []} if len(m) >= 3]
-    by_line = {}
-    for i, k, m in entries:
-        by_line.setdefault(m, []).append((i, k))
-    first = {m: min(v)[0] for m, v in by_line.items() if len(v) >= min_docs}
-    rare = {m: v for m, v in by_line.items() if len(v) < min_docs}
-    leaves = {}
-    for m in rare:
+    by_line, leaves, places = {}, {}, {}
+    for k, (i, ls) in enumerate(texts):
+        for m in {mask(x) for x in ls or []} - {()}:
+            by_line.setdefault(m, set()).add((i, k))
+    for m, v in by_line.items():
         leaves.setdefault((len(m), m[:3]), []).append(m)
-    shapes = {}
-    for ms in leaves.values():
-        if len(ms) < 2 or sum(len(rare[m]) for m in ms) < min_docs:
-            continue
-        support = {}
-        for m in ms:
-            for p, t in enumerate(m):
-                support[p, t] = support.get((p, t), 0) + len(rare[m])
-        for m in ms:
-            shape = tuple(t if t != "<*>" and support[p, t] >= min_docs else None for p, t in enumerate(m))
-            if sum(t is not None for t in shape) >= constant * len(m) - 1e-9:
-                shapes.setdefault((len(m), m[:3], shape), []).append(m)
-    for ms in shapes.values():
-        docs = {d for m in ms for d in rare[m]}
+        for p, t in enumerate(m):
+            places[m[:3], len(m), p, t] = places.get((m[:3], len(m), p, t), 0) + len(v)
+    templates = {}
+    for (size, lead), ms in leaves.items():
+        weight = sum(len(by_line[m]) for m in ms)
+        for m in ms if size >= 3 and len(ms) > 1 and weight >= min_docs else []:
+            fixed = [p for p, t in enumerate(m) if t != "<*>" and places[lead, size, p, t] >= max(min_docs, weight / rare)]
+            for gone in [None, *(p for p in fixed if p >= 3)]:
+                left = [p for p in fixed if p != gone]
+                if len(left) >= constant * size - 1e-9:
+                    templates.setdefault((size, tuple((p, m[p]) for p in left)), set()).add(m)
+    first = {m: min(v)[0] for m, v in by_line.items() if len(v) >= min_docs}
+    for ms in templates.values():
+        docs = set().union(*(by_line[m] for m in ms))
         if len(docs) >= min_docs:
-            first |= dict.fromkeys(ms, min(docs)[0])
+            first |= {m: min(min(docs)[0], first.get(m, 1 << 64)) for m in ms}
     out = []
     for (i, ls), (doc, _) in zip(texts, rows, strict=True):
-        kept = [x for x in ls or [] if not (len(mask(x)) >= 3 and i > first.get(mask(x), 1 << 64))]
+        kept = [x for x in ls or [] if i <= first.get(mask(x), 1 << 64)]
         out.append((doc, len(ls or []), len(ls or []) - len(kept), None if ls is None else "\n".join(kept)))
     return sorted(out, key=str)
 
@@ -304,3 +301,49 @@ def test_line_templates_match_brute_force(spark):
     assert sum(w[2] for w in want) > 30
     assert sorted([tuple(x) for x in got.collect()], key=str) == want
     assert line_templates.deduplicated(table(spark, []), {"doc_id": F.col("doc_id")}).count() == 0
+
+
+def dropped(spark, rows, **options):
+    return sum(r["n_dropped"] for r in line_templates.deduplicated(table(spark, rows), {"doc_id": F.col("doc_id")}, **options).collect())
+
+
+def test_a_field_with_a_frequent_value(spark):
+    words = ["Alpha"] * 5 + ["Bravo", "Delta", "Echo", "Golf"]
+    rows = [(i, f"This page was made by {w} for all of us") for i, w in enumerate(words)]
+    assert dropped(spark, rows) == brute_count(rows) == 8
+
+
+def brute_count(rows):
+    return sum(r[2] for r in brute_lines(rows))
+
+
+@pytest.mark.parametrize("n", [50, 200, 1000, 5000])
+def test_a_template_is_found_at_every_size(spark, n):
+    r = random.Random(n)
+    names, cities = vocabulary(21, 200), vocabulary(22, 200)
+    rows = [(i, f"Sent to you by {r.choice(names)}a from {r.choice(cities)}b with our best regards") for i in range(n)]
+    assert dropped(spark, rows) == n - 1
+    assert n > 1000 or brute_count(rows) == n - 1
+
+
+def test_short_lines_and_hot_lines(spark):
+    rows = [(i, "Home\nRead more\n \n" + f"own line{'abcdefghij'[i]} here") for i in range(10)]
+    assert dropped(spark, rows) == dropped(spark, rows, hot=5) == brute_count(rows) == 18
+
+
+def test_line_templates_take_string_ids(spark):
+    rows = [(f"d{i}", "the same line here\nand more of it") for i in range(8)] + [(None, "the same line here")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in line_templates.deduplicated(docs, {"doc_id": F.col("doc_id")}).collect()}
+    assert got == {None: 1, "d0": 0} | {f"d{i}": 2 for i in range(1, 8)}
+
+
+def test_lines_without_ansi_and_with_clashing_names(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        names = ["drops", "line", "id", "k", "n_lines", "first", "n"]
+        docs = table(spark, EDGES).withColumns({n: F.lit("x") for n in names})
+        got = line_templates.deduplicated(docs, {"doc_id": F.col("doc_id"), "row": F.struct("*")}).collect()
+        assert sorted(str((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"])) for r in got) == sorted(map(str, brute_lines(EDGES)))
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")

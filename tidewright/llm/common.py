@@ -9,11 +9,13 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Terms are runs of ASCII letters, digits and everything beyond ASCII (after lower-casing A-Z).
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LAST = (1 << 63) - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,6 +30,13 @@ def crc_bucket(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts, F.lit(0))
 
 
+def ordered_id(docs: DataFrame, doc_id: str) -> Column:
+    """The id with null as the largest: a long for whole numbers, else a struct that orders alike."""
+    if isinstance(docs.schema[doc_id].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """128 bits that tell rows apart by id and text; equal rows share them."""
     return [F.xxhash64(doc_id, text, F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), text, doc_id).alias("k2")]

@@ -104,16 +104,16 @@ ORACLE_SQL: dict[str, str] = {
     "op9_line_templates": r"""
         with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
         m as (select *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as w from l),
-        e as (select distinct doc_id, w from m where len(w) >= 3),
+        e as (select distinct doc_id, w from m where len(w) > 0),
         c as (select w, len(w) as size, w[1:3] as lead, count(*) as n, min(doc_id) as first from e group by w),
-        leaves as (select size, lead from c where n < 5 group by size, lead having sum(n) >= 5 and count(*) > 1),
-        p as (select w, c.size, c.lead, n, unnest(w) as token, generate_subscripts(w, 1) as pos from c join leaves using (size, lead) where n < 5),
-        f as (select size, lead, pos, token, sum(n) as support from p group by all),
-        marked as (select p.w, p.size, p.pos, case when p.token <> '<*>' and (support >= 5 or p.pos <= 3) then p.token end as token from p join f using (size, lead, pos, token)),
-        shapes as (select w, string_agg(coalesce(token, chr(1)), ' ' order by pos) as shape from marked group by w, size having count(token) >= ceil(size * cast(0.6 as double) - 1e-9)),
-        held as (select distinct shape, doc_id from shapes join e using (w)),
-        g as (select shape, min(doc_id) as first from held group by shape having count(*) >= 5),
-        gone as (select w, first from c where n >= 5 union all select w, g.first from shapes join g using (shape)),
+        leaves as (select size, lead, sum(n) as weight from c where size >= 3 group by size, lead having sum(n) >= 5 and count(*) > 1),
+        p as (select w, size, lead, weight, n, unnest(w) as token, generate_subscripts(w, 1) as pos from c join leaves using (size, lead)),
+        f as (select size, lead, pos, token from p where token <> '<*>' group by size, lead, pos, token, weight having sum(n) >= 5 and sum(n) * 50 >= weight),
+        s as (select w, size, list(struct_pack(pos := pos, token := token) order by pos) as fixed from p join f using (size, lead, pos, token) group by w, size),
+        masks as (select w, size, fixed, unnest(list_concat([0], list_filter(list_transform(fixed, lambda x: x.pos), lambda x: x > 3))) as masked from s),
+        shapes as (select w, size, list_filter(fixed, lambda x: x.pos <> masked) as shape from masks),
+        g as (select size, shape, min(doc_id) as first from shapes join e using (w) where len(shape) >= ceil(size * cast(0.6 as double) - 1e-9) group by size, shape having count(distinct doc_id) >= 5),
+        gone as (select w, min(first) as first from (select w, first from c where n >= 5 union all select w, g.first from shapes join g using (size, shape)) group by w),
         kept as (select m.doc_id, count(*) as n_lines, count(gone.w) as n_dropped, string_agg(case when gone.w is null then line end, chr(10) order by i) as kept
                  from m left join gone on m.w = gone.w and m.doc_id > gone.first group by m.doc_id)
         select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, sha256(coalesce(kept, '')) as kept_sha256 from documents left join kept using (doc_id)
