@@ -84,6 +84,32 @@ def test_substrings_repeated_within_an_id(spark, batches):
     assert sorted([tuple(r)[:4] for r in got.collect()], key=str) == brute_substrings(rows, 50)
 
 
+def test_substrings_with_repeats_inside_documents(spark):
+    """Few words and short windows: the same windows at many places, in rows that share ids, over several compactions."""
+    for seed in (31, 32):
+        r = random.Random(seed)
+        lexicon = vocabulary(seed, 12)
+        passages = [r.choices(lexicon, k=r.randint(10, 30)) for _ in range(6)]
+        rows = []
+        for i in range(60):
+            text = [w for _ in range(r.randint(0, 4)) for w in [*r.choice(passages), *r.choices(lexicon, k=r.randint(0, 6))]]
+            rows.append((r.choice([i, i // 2, None if i % 17 == 0 else i]), " ".join(text)))
+        rows += rows[:5]
+        got = substrings.deduplicated(table(spark, rows), {"doc_id": F.col("doc_id")}, window=10, anchor=4, batches=5, max_runs=1)
+        want = brute_substrings(rows, 10)
+        assert sorted([tuple(x)[:4] for x in got.collect()], key=str) == want and sum(x[2] for x in want) > 500
+
+
+def test_substrings_take_string_ids(spark):
+    rows = [(f"d{i:03d}", t) for i, t in corpus(3, 40)] + [(None, "a b " * 60), ("", "x " * 80), ("é", "x " * 70)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(x["doc_id"], x["kept_sha256"]) for x in substrings.deduplicated(docs, {"doc_id": F.col("doc_id")}, batches=3).collect()}
+    order = {d: i for i, d in enumerate(sorted((d for d, _ in rows if d is not None), key=str.encode))}
+    back = {i: d for d, i in order.items()}
+    want = {(back.get(i), sha) for i, _, _, sha in brute_substrings([(order.get(d), t) for d, t in rows], 50)}
+    assert got == want
+
+
 def test_substrings_small_windows_and_extra_columns(spark):
     rows = corpus(2, 40)
     docs = table(spark, rows).withColumnsRenamed({"lang": "parts", "source": "row"})

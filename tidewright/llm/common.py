@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,13 @@ def ordered_id(docs: DataFrame, doc_id: str) -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many `_` after it as make it differ from those taken in more than case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """128 bits that tell rows apart by id and text; equal rows share them."""
     return [F.xxhash64(doc_id, text, F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), text, doc_id).alias("k2")]
@@ -54,6 +61,17 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def id_order(docs: DataFrame, doc_id: str) -> Column:
+    """A number that no smaller id has a larger of; null ids have the largest. Ids of types without one all have 0."""
+    kind, null = docs.schema[doc_id].dataType, F.lit(LAST)
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        return F.coalesce(F.col(doc_id).cast("long"), null)
+    if isinstance(kind, StringType):
+        first = F.rpad(F.hex(F.substring(F.encode(F.col(doc_id), "UTF-8"), 1, 7)), 14, "0")
+        return F.coalesce(F.conv(first, 16, 10).cast("long"), null)
+    return F.when(F.col(doc_id).isNull(), null).otherwise(F.lit(0).cast("long"))
+
+
 class Workspace:
     """Work tables of one operator call, as Parquet in the shared folder.
 
@@ -70,17 +88,37 @@ class Workspace:
             Workspace.tracked.append(self)
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables: set[str] = set()
+        self.catalogued: dict[str, str] = {}
         self._n = 0
 
     def save(self, df: DataFrame, name: str | None = None) -> DataFrame:
-        self._n += 1
-        name = f"{name or 't'}-{self._n}"
+        name = self._name(name)
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self.tables.add(name)
         out = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
         out.work_table = name
         return out
 
+    def bucketed(self, df: DataFrame, by: list[str], name: str | None = None, dealt: bool = False) -> DataFrame:
+        """Like save(), in as many buckets by the given columns as shuffles have partitions: joins and sums by all of these move no row of it.
+
+        With dealt, df comes from a join or sum by these columns, and is not dealt out again.
+        """
+        name = self._name(name)
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"tidewright_{uuid.uuid4().hex}"
+        writer = (df if dealt else df.repartition(n, *by)).write.bucketBy(n, *by).sortBy(*by)
+        writer.mode("overwrite").format("parquet").option("path", f"{self.path}/{name}").saveAsTable(table)
+        self.catalogued[name] = table
+        out = self.spark.table(table)
+        out.work_table = name
+        return out
+
+    def _name(self, name: str | None) -> str:
+        self._n += 1
+        name = f"{name or 't'}-{self._n}"
+        self.tables.add(name)
+        return name
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             self._delete(df.work_table)
@@ -106,6 +144,8 @@ class Workspace:
             cls.tracking = False
 
     def _delete(self, name: str) -> None:
+        if name in self.catalogued:
+            self.spark.sql(f"drop table if exists {self.catalogued.pop(name)}")
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

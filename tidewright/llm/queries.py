@@ -86,7 +86,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Terms of a text t, A-Z lower-cased, as DuckDB has it.
 _TERMS = r"regexp_extract_all(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TEMPLATES = ", ".join(f"({i}, '{label}', {licenses.terms(text)}, {licenses.terms(required)})" for i, (label, text, required) in enumerate(licenses.TEMPLATES))
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": f"""
+        with t as (select i, label, list_distinct(words) as words, required, case when len(words) <= 8 then 16 else 64 end as length from (values {_TEMPLATES}) v(i, label, words, required)),
+        d as (select doc_id, {_TERMS.replace("t,", "text,")} as w from documents),
+        b as (select doc_id, length, w[nth * (length // 2) + 1 : nth * (length // 2) + length] as block
+              from (select doc_id, w, length, unnest(range(0, greatest(1, (len(w) - length // 2 - 1) // (length // 2) + 1))) as nth from d, (values (16), (64)) l(length))),
+        hits as (select distinct doc_id, block, i, label, words, len(list_intersect(words, block)) / len(words) as share from b join t using (length)
+                 where len(list_intersect(words, block)) >= ceil(len(words) * cast(0.8 as double) - 1e-9) and list_has_all(block, required)),
+        named as (select doc_id, label, share from hits h where not exists
+                  (select 1 from hits o where o.doc_id = h.doc_id and o.block = h.block and len(o.words) > len(h.words) and list_has_all(o.words, h.words))),
+        base as (select doc_id, p - 1 as p, label from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d) x,
+                 (values (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) y(phrase, label)
+                 where w[p : p + len(phrase) - 1] = phrase),
+        places as (select doc_id, count(*) as n, min(p) as first_word, max(p) as last_word, string_agg(distinct label, ',' order by label) as labels from base group by doc_id),
+        every as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from base union all select doc_id, label from named) group by doc_id),
+        best as (select doc_id, max(share) as score from named group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_base, first_word, last_word, coalesce(places.labels, '') as base_labels,
+               coalesce(every.labels, '') as labels, case when n > 0 then cast(1.0 as double) else coalesce(score, 0.0) end as score
+        from d left join places using (doc_id) left join every using (doc_id) left join best using (doc_id)
+    """,
     "op1_mixing": r"""
         with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
         s as (select source, sum(size) as source_size from d group by source),
@@ -101,6 +122,16 @@ ORACLE_SQL: dict[str, str] = {
                (cast(floor(target) as bigint) // source_size) * size + least(size, greatest(0, cast(floor(target) as bigint) % source_size - before)) end as bigint) as taken
         from p
     """,
+    "op5_substrings": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        win as (select doc_id, i, array_to_string(w[i : i + 49], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d)),
+        since as (select s, min(doc_id) as first from win group by s having min(doc_id) < max(doc_id)),
+        gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from win join since using (s) where doc_id > first),
+        each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+        kept as (select each.doc_id, count(gone.p) as n_removed, string_agg(case when gone.p is null then word end, ' ' order by each.p) as kept
+                 from each left join gone on each.doc_id = gone.doc_id and each.p = gone.p group by each.doc_id)
+        select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join kept using (doc_id)
+    """,
     "op9_line_templates": r"""
         with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
         m as (select *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as w from l),
