@@ -52,13 +52,12 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
 
 
 def _entries(docs: DataFrame, doc_id: str, text: str, leading: int) -> DataFrame:
-    """(id, k, leaf, h1, h2, places) for each distinct masked line of each row; a place is null where the line has a field."""
+    """(id, k, leaf, size, h1, h2, line) for each distinct masked line of each row."""
     lines = F.array_distinct(F.transform(_lines(F.col(text)), _masked))
     out = docs.select(*_keys(docs, doc_id, text), F.explode(lines).alias("line")).filter("line <> ''")
-    out = out.withColumn("tokens", F.split("line", " ", -1))
-    out = out.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, leading)))
-    place = F.transform("tokens", lambda t, i: F.when(t != FIELD, F.xxhash64(F.col("leaf"), i, t)))
-    return out.select("id", "k", "leaf", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), place.alias("places"))
+    tokens = F.split("line", " ", -1)
+    leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, leading)).alias("leaf")
+    return out.select("id", "k", leaf, F.size(tokens).alias("size"), F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), "line")
 
 
 def recurring(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, leading: int = LEADING, constant: float = CONSTANT, min_tokens: int = MIN_TOKENS, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
@@ -66,20 +65,23 @@ def recurring(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
     seen = ws.save(_entries(docs, doc_id, text, leading), "lines")
     line = ["h1", "h2"]
     per_line = [F.count("*").alias("n"), F.min("id").alias("first")]
-    counts = ws.save(seen.groupBy(*line).agg(F.first("leaf").alias("leaf"), F.first(F.size("places")).alias("size"), *per_line), "counts")
+    counts = ws.save(seen.groupBy(*line).agg(F.first("leaf").alias("leaf"), F.first("size").alias("size"), *per_line), "counts")
     exact = counts.filter(F.col("n") >= min_docs).select(*line, "first", "n")
     leaves = counts.filter(F.col("size") >= min_tokens).groupBy("leaf").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
     leaves = ws.save(leaves.filter((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select("leaf", "all"), "leaves")
 
-    parsed = seen.join(leaves, "leaf").groupBy(*line).agg(F.first("places").alias("places"), F.first("all").alias("all"), *per_line)
-    parsed = ws.save(parsed.withColumn("line", F.monotonically_increasing_id()), "parsed")
+    parsed = seen.join(leaves, "leaf").groupBy(*line).agg(*[F.first(c).alias(c) for c in ("line", "leaf", "size", "all")], *per_line)
+    # A place is null where the line has a field.
+    place = F.transform(F.split("line", " ", -1), lambda t, i: F.when(t != FIELD, F.xxhash64(F.col("leaf"), i, t)))
+    parsed = parsed.select(F.monotonically_increasing_id().alias("line"), place.alias("places"), "size", "all", "n", "first", *line)
+    parsed = ws.save(parsed, "parsed")
     places = parsed.select("line", "n", "all", F.posexplode("places").alias("at", "place")).filter("place is not null")
     support = places.groupBy("place").agg(F.sum("n").alias("held"), F.first("all").alias("all"))
     fixed = ws.save(support.filter((F.col("held") >= min_docs) & (F.col("held") * rare >= F.col("all"))).select("place"), "fixed")
     standing = places.select("line", "at", "place").join(fixed, "place")
     free = F.when(F.col("at") >= leading, F.col("place"))
     shapes = standing.groupBy("line").agg(F.bit_xor("place").alias("t1"), F.bit_xor(F.xxhash64("place")).alias("t2"), F.count("*").alias("fixed"), F.collect_list(free).alias("free"))
-    shapes = parsed.select("line", F.size("places").alias("size"), "n", "first", *line).join(shapes, "line")
+    shapes = parsed.select("line", "size", "n", "first", *line).join(shapes, "line")
     # A shape is a sum of its places' hashes; taking one away makes it a field.
     every = F.concat(F.array(F.lit(None).cast("long")), "free")
     loose = shapes.select(*line, "n", "first", "size", "fixed", "t1", "t2", F.explode(every).alias("p")).select(
