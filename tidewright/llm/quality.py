@@ -1,23 +1,28 @@
 """Operator 4, a quality classifier of supervised subword embeddings.
 
-A text's features are its words, the pairs of adjacent words (all pairs of a word with itself are one
-feature) and the character n-grams within words (word edges count as a character), hashed to
-`buckets` learned vectors. Their mean goes through a softmax of two classes.
-Vectors and softmax are trained together by stochastic gradient descent in numpy, on the driver, from
-a bounded sample: at most PER_CLASS labelled rows of each class, those with the smallest hash of
-their id, as whole texts. Their hashed features are made in the tasks; only these come to the driver.
+A text's features are its words, the pairs of adjacent words and the character n-grams within words
+(word edges count as a character), hashed to `buckets` learned vectors. Their mean goes through a
+softmax of two classes. Vectors and softmax are trained together by stochastic gradient descent in
+numpy, on the driver, from a bounded sample: of each class the labelled rows with the smallest hash of
+their id, at most PER_CLASS of them and at most TRAIN_BYTES of text (one row at least), as whole texts.
+Their hashed features are made in the tasks; only these come to the driver, some 32 bytes for each byte
+of text at worst.
 
 Since the mean and the softmax's score are linear, scoring folds them into one number a bucket
-(`buckets` floats, 1 MB, sent with the task). All rows are scored over their whole texts, in pieces
-of PIECE bytes, so memory does not grow with a text's length.
+(`buckets` floats, 1 MB, sent with the task). All rows are scored over their whole texts, in pieces of
+about PIECE bytes that end with a word, so memory does not grow with a text's length; the features are
+the same as those of the text in one piece.
 
 Defined cases: null and empty texts have the end mark as their only feature, and get a score. Without
-labelled rows every score is 0.5. Several labels of one id count as their largest. Repeated rows each
-get a row.
+labelled rows, or documents of theirs, every score is 0.5. Several labels of one id count as their
+largest; ids of equal hash go by the id. Very long texts are scored whole. A score of exactly 0.5 is
+predicted 1. Repeated rows each get a row. An empty table gives an empty result. Columns of docs may
+have any names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, DIMS, GRAMS, PER_CLASS = 1 << 18, 10, (2, 3, 4), 1500
+BUCKETS, DIMS, GRAMS, PER_CLASS, TRAIN_BYTES = 1 << 18, 10, (2, 3, 4), 1500, 6_000_000
 EPOCHS, RATE, SEED, PIECE = 6, 0.5, 11, 1 << 20
 PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
@@ -39,14 +44,15 @@ def _bucket(h: np.ndarray, salt: int, buckets: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % np.uint64(buckets - 1)).astype(np.int64) + 1
 
 
-def _features(data: bytes, buckets: int) -> np.ndarray:
+def _features(data: bytes, buckets: int, before: np.uint64 | None = None) -> tuple[np.ndarray, np.uint64 | None]:
+    """The buckets of a text's features, and its last word's hash; before is that of the word ahead of it."""
     raw = np.frombuffer(b" " + data + b" ", np.uint8)
     space = SPACE[raw]
     code = np.where(space, np.uint8(32), raw).astype(np.uint64)
     out = []
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     if not len(starts):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), before
     with np.errstate(over="ignore"):
         ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
         place = np.arange(len(raw)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(raw)]))
@@ -54,7 +60,8 @@ def _features(data: bytes, buckets: int) -> np.ndarray:
         inside = ~space
         letters, group = code[inside] * powers[place[inside]], np.cumsum(ends - starts) - (ends - starts)
         word = np.add.reduceat(letters, group)
-        pair = np.where(word[1:] == word[:-1], np.uint64(1), word[:-1] * PRIME + word[1:])
+        ahead = word if before is None else np.r_[before, word]
+        pair = ahead[:-1] * PRIME + ahead[1:]
         out += [_bucket(word, 1, buckets), _bucket(pair, 2, buckets)]
         for n in GRAMS:
             if len(raw) < n:
@@ -68,29 +75,38 @@ def _features(data: bytes, buckets: int) -> np.ndarray:
             if n == 2:
                 within &= inside[: len(h)] | inside[1 : 1 + len(h)]
             out.append(_bucket(h[within], 3 + n, buckets))
-    return np.concatenate(out)
+    return np.concatenate(out), word[-1]
+
+
+END = re.compile(rb"[ \t-\r]")
 
 
 def pieces(data: bytes) -> Iterator[bytes]:
-    """The text in pieces, cut at the last space before PIECE bytes where there is one."""
-    while len(data) > PIECE:
-        cut = max(data.rfind(b" ", 1, PIECE), data.rfind(b"\n", 1, PIECE))
-        cut = cut if cut > 0 else PIECE
-        yield data[:cut]
-        data = data[cut:]
-    yield data
+    """The text in pieces that end where a word does, the first such place from PIECE bytes on."""
+    at = 0
+    while at < len(data) or not at:
+        end = END.search(data, at + PIECE)
+        stop = end.start() if end else len(data)
+        yield data[at:stop]
+        at = max(stop, 1)
+
+
+def featured(data: bytes | None, buckets: int) -> Iterator[np.ndarray]:
+    """The buckets of a whole text's features, piece by piece."""
+    last = None
+    for piece in pieces(data or b""):
+        ids, last = _features(piece, buckets, last)
+        yield ids
 
 
 def counted(data: bytes | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and how often each occurs."""
-    counts: dict[int, int] = {0: 1}
-    for piece in pieces(data or b""):
-        ids, n = np.unique(_features(piece, buckets), return_counts=True)
-        if len(data or b"") <= PIECE:
-            return np.r_[0, ids], np.r_[1, n]
-        for i, k in zip(ids.tolist(), n.tolist(), strict=True):
-            counts[i] = counts.get(i, 0) + k
-    return np.array(list(counts)), np.array(list(counts.values()))
+    total = np.zeros(buckets, np.int64)
+    total[0] = 1
+    for ids in featured(data, buckets):
+        total += np.bincount(ids, minlength=buckets)
+    there = np.flatnonzero(total)
+    return there, total[there]
 
 
 class Model:
@@ -101,8 +117,7 @@ class Model:
 
     def score(self, data: bytes | None) -> float:
         total, n = float(self.weights[0]), 1
-        for piece in pieces(data or b""):
-            ids = _features(piece, len(self.weights))
+        for ids in featured(data, len(self.weights)):
             total += float(self.weights[ids].sum(dtype=np.float64))
             n += len(ids)
         return float(1 / (1 + np.exp(-total / n)))
@@ -131,13 +146,20 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKET
     return Model(vectors @ (softmax[1] - softmax[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, buckets: int = BUCKETS, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES, buckets: int = BUCKETS, **options) -> Model:
     """The model, from the labels given; hold rows out by leaving out their labels."""
     one = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("label"))
-    chosen: dict[int, int] = {}
+    first: dict = {}
     for value in (0, 1):
         rows = one.filter(F.col("label") == value).orderBy(F.xxhash64(F.col(doc_id)), doc_id).limit(per_class)
-        chosen |= {r[0]: value for r in rows.select(doc_id).collect()}
+        first |= {r[0]: value for r in rows.select(doc_id).collect()}
+    wanted = docs.filter(F.col(doc_id).isin(list(first))).select(F.col(doc_id).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n"))
+    sizes = {r[0]: r[1] for r in wanted.groupBy("id").agg(F.sum("n")).collect()} if first else {}
+    chosen, taken = {}, {0: 0, 1: 0}
+    for i, value in first.items():
+        if i in sizes and (not taken[value] or taken[value] + sizes[i] <= train_bytes):
+            chosen[i] = value
+            taken[value] += max(1, sizes[i])
     if not chosen:
         return fit([], buckets)
 
@@ -145,14 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             found = [counted(t.as_py(), buckets) for t in batch.column(1)]
             ids = pa.array([i.astype("<u4").tobytes() for i, _ in found], pa.binary())
-            counts = pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in found], pa.binary())
+            counts = pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, counts], names=["id", "ids", "counts"])
 
     rows = docs.filter(F.col(doc_id).isin(list(chosen))).select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     got = rows.mapInArrow(features, f"id {kind}, ids binary, counts binary").collect()
     got.sort(key=lambda r: (r["id"], r["ids"]))
-    samples = [(np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["counts"], "<u2").astype(np.float64), chosen[r["id"]]) for r in got]
+    samples = [(np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(np.float64), chosen[r["id"]]) for r in got]
     return fit(samples, buckets, **options)
 
 
