@@ -10,9 +10,10 @@ must end within it), and verified term by term.
 Documents are read once. Each text's shingle hashes are tested against the item shingles where they
 are made, and only hits are kept, with the terms around them. Up to MAX_LITERAL item shingles are
 sent along as a hash set in the plan; beyond that the hits come from a shuffled join with the same
-result. Counting, ranking, verification and summing-up are joins and sums of hits only.
+result (a choice of plan by the benchmark's size, not by the documents'; tests run both). Counting, ranking, verification and summing-up are joins and sums of hits only.
 
-Defined cases: null or empty texts and items have no terms and no windows. Repeated rows each get
+Defined cases: null or empty texts and items have no terms and no windows; very long texts are read whole.
+Of shingles equally rare, the first in the window is its prefix. Columns of docs may have any names. Repeated rows each get
 their own row; repeated items count once an id. An item's null id is left out of n_items. Without
 items nothing is contaminated.
 """
@@ -40,21 +41,33 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int = WINDOW
     return words.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.slice("w", i, width))).alias("win"))
 
 
-def _hashes(words: Column, k: int) -> Column:
-    """(pos, h) of every shingle of k terms."""
-    n = F.size(words)
-    every = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i + 1, k)).alias("h")))
+def _hashes(terms: Column, k: int) -> Column:
+    """(pos, h) of every shingle of k terms, from the terms' hashes: each term is hashed once, not k times."""
+    n = F.size(terms)
+    every = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(terms, i + j) for j in range(k)]).alias("h")))
     return F.when(n >= k, every).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
 
+def _term_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _window_hash(words: Column, most: int) -> Column:
+    """The hash that _hashes gives a shingle of all these terms, at most so many."""
+    out = F.lit(None).cast("long")
+    for k in range(most, 0, -1):
+        out = F.when(F.size(words) == k, F.xxhash64(*[F.xxhash64(F.get(words, F.lit(j))) for j in range(k)])).otherwise(out)
+    return out
+
+
 def _around(words: Column, hit: Column, k: Column, window: int) -> Column:
     """A hit with the terms that a window around it may hold."""
     at = F.greatest(hit["pos"] - (F.lit(window) - k), F.lit(0))
     return F.struct(hit["pos"].alias("pos"), hit["h"].alias("h"), at.alias("at"), F.slice(words, at + 1, F.lit(2 * window) - k).alias("around"))
 
 
-def _hits(words: Column, k: int, wanted: list[int], window: int) -> Column:
-    hits = F.filter(_hashes(words, k), lambda x: x["h"].isin(wanted))
+def _hits(words: Column, hashes: Column, k: int, wanted: list[int], window: int) -> Column:
+    hits = F.filter(_hashes(hashes, k), lambda x: x["h"].isin(wanted))
     return F.transform(hits, lambda x: _around(words, x, F.lit(k), window))
 
 
@@ -62,19 +75,20 @@ def _scan(docs: DataFrame, keep: dict[str, Column], text: str, shingles: DataFra
     """All rows (rid, n_words, keep) and the hits of item shingles in them (rid, n_words, pos, h, at, around)."""
     per_k = {r["k"]: r["n"] for r in shingles.groupBy("k").agg(F.count("*").alias("n")).collect()}
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], terms(F.col(text)).alias("words")).withColumn("n_words", F.size("words").cast("long"))
-    words = F.col("words")
+    rows = rows.withColumn("hashes", _term_hashes(F.col("words")))
+    words, hashes = F.col("words"), F.col("hashes")
     if sum(per_k.values()) <= max_literal:
         found = []
         for k in sorted(per_k):
             wanted = [r["h"] for r in shingles.filter(F.col("k") == k).select("h").collect()]
-            found.append(_hits(words, k, wanted, window))
+            found.append(_hits(words, hashes, k, wanted, window))
         empty = F.array().cast("array<struct<pos:int,h:bigint,at:int,around:array<string>>>")
-        saved = ws.save(rows.withColumn("hits", F.flatten(F.array(*found)) if found else empty).drop("words").withColumn("rid", F.monotonically_increasing_id()), "scan")
+        saved = ws.save(rows.withColumn("hits", F.flatten(F.array(*found)) if found else empty).drop("words", "hashes").withColumn("rid", F.monotonically_increasing_id()), "scan")
         hits = saved.select("rid", "n_words", F.explode("hits").alias("x")).select("rid", "n_words", "x.*")
         return saved.drop("hits"), hits
-    saved = ws.save(rows.withColumn("rid", F.monotonically_increasing_id()), "scan")
-    ours = F.flatten(F.array(*[_hashes(words, k) for k in sorted(per_k)]))
-    placed = saved.select("rid", F.explode(ours).alias("x")).select("rid", "x.pos", "x.h")
+    saved = ws.save(rows.drop("hashes").withColumn("rid", F.monotonically_increasing_id()), "scan")
+    ours = F.flatten(F.array(*[_hashes(hashes, k) for k in sorted(per_k)]))
+    placed = saved.withColumn("hashes", _term_hashes(words)).select("rid", F.explode(ours).alias("x")).select("rid", "x.pos", "x.h")
     found = placed.join(shingles, "h").select("rid", F.struct("pos", "h", "k").alias("hit"))
     lists = ws.save(found.groupBy("rid").agg(F.collect_list("hit").alias("hits")), "found")
     back = saved.select("rid", "n_words", "words").join(lists, "rid")
@@ -90,7 +104,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: dict[str, Column], te
     windows = owners.select("win_id", "win").dropDuplicates(["win_id"])
     k = F.least(F.size("win"), F.lit(shingle))
     parts = windows.select("win_id", "win", k.alias("k")).select(
-        "win_id", "win", "k", F.explode(F.transform(F.sequence(F.lit(0), F.size("win") - F.col("k")), lambda i: F.struct(i.alias("off"), F.xxhash64(F.slice("win", i + 1, F.col("k"))).alias("h")))).alias("x")
+        "win_id", "win", "k", F.explode(F.transform(F.sequence(F.lit(0), F.size("win") - F.col("k")), lambda i: F.struct(i.alias("off"), _window_hash(F.slice("win", i + 1, F.col("k")), shingle).alias("h")))).alias("x")
     )
     parts = ws.save(parts.select("win_id", "win", "k", "x.off", "x.h"), "parts")
     shingles = ws.save(parts.select("h", "k").distinct(), "shingles")
