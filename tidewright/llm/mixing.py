@@ -13,9 +13,10 @@ bucket sums are added up on two levels, and only a bucket's own rows are sorted
 with a third of all rows, or all, is no single task. Keys are md5 of seed and id: reruns agree.
 Documents are read twice, for the sums and for the mix, which moves each once, to its bucket.
 
-Defined cases: a null text has size 0. Sources go by code point, null last and a source of its own.
+Defined cases: a null text has size 0, with ANSI mode or without; very long texts are counted whole. Sources go by code point, null last and a source of its own.
 Rows that share an id are ordered by size; equal rows are interchangeable. Texts without words take
-nothing. An empty table gives an empty result.
+nothing. An empty table gives an empty result. Columns of docs may have any names; where the mix would
+add one that docs has, `_` is appended to the added one's name.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WORD, Workspace
+from tidewright.llm.common import WORD, Workspace, free_name
 
 WEIGHTS, SHARE, CAP, SEED, BUCKET = (5, 2, 1), 1.5, 2, "mix-1", 256
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
+    return F.coalesce(F.array_size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -95,4 +96,4 @@ def mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("__row")[text], F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int")), " ")
     kept = F.when(F.col("__words") < F.col("size"), cut).otherwise(F.col("__row")[text])
     columns = [(kept if c == text else F.col("__row")[c]).alias(c) for c in docs.columns]
-    return each.select(*columns, F.col("__epoch").alias("epoch"), F.col("__words").alias("words"))
+    return each.select(*columns, F.col("__epoch").alias(free_name("epoch", docs.columns)), F.col("__words").alias(free_name("words", docs.columns)))
