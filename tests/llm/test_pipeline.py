@@ -15,7 +15,7 @@ from tidewright.llm.common import Workspace
 
 
 def languages(rows):
-    """Rows that are like a known language."""
+    """Rows that are like a known language, which they get as theirs."""
     dims, seed = language_id.DIMS, language_id.SEED
     vectors = [reference_vector(t or "", dims, seed) for _, t, *_ in rows]
     totals = {}
@@ -24,7 +24,12 @@ def languages(rows):
             totals[lang] = totals.get(lang, 0) + v
     def cosine(a, b):
         return float(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b) or 1)
-    return [r for r, v in zip(rows, vectors, strict=True) if v.any() and max(cosine(p, v) for p in totals.values()) >= corpus_pipeline.MIN_COSINE]
+    out = []
+    for r, v in zip(rows, vectors, strict=True):
+        score, lang = max(((cosine(p, v), k) for k, p in totals.items()), default=(0, None))
+        if v.any() and score >= corpus_pipeline.MIN_COSINE:
+            out.append((*r[:2], lang, *r[3:]))
+    return out
 
 
 def lines(rows):
@@ -97,6 +102,17 @@ def test_pipeline_matches_a_plain_version(spark, tmp_path):
         assert len(words(x["text"])) == x["words"] and re.sub(r"\s+", " ", whole[x["doc_id"]]).strip().startswith(re.sub(r"\s+", " ", x["text"]).strip())
 
 
+def test_other_columns_and_unlabelled_rows(spark, tmp_path):
+    rows = [(i, " ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta", "eta"], k=40)), "aa" if i % 3 else None, f"s{i % 2}", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"epoch": F.lit("e"), "words": F.lit("w"), "row": F.lit("r"), "lang_pred": F.lit("l")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*docs.columns, "epoch_", "words_"]
+    assert {tuple(r) for r in got.select("lang", "epoch", "words", "row", "lang_pred").distinct().collect()} == {("aa", "e", "w", "r", "l")}
+    assert got.select("doc_id").distinct().count() == 12
+
+
 def test_stages_take_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
