@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
 shared folder and read again as the next stage's docs. All stages but the last return the columns of
 documents.
+
+Defined cases: rows with a null or empty text, or without a letter, go in the first stage; a null id or
+source is kept like others, as the largest. Very long texts are read whole. Repeated rows are near
+copies, of which one stays: of a group that with the smallest id, of equal ids that with the smallest
+hash. An empty table gives an empty result. Other columns of documents are carried along, whatever
+their names; where the mix would add one of the same name, `_` is appended to its name.
 """
 
 from __future__ import annotations
@@ -21,12 +27,16 @@ MIN_COSINE = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a letter, or like no language, go. Prototypes come from documents, without its held-out rows."""
+    """Rows without a letter, or like no language, go; the others get the language found as their lang.
+
+    Prototypes come from the labels of documents, without its held-out rows.
+    """
     known = docs.filter(crc_bucket(F.col("doc_id"), 4) != 2)
     profiles = language_id.train(known, "text", "lang")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     found = language_id.identify(docs, "text", profiles, {"row": whole})
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_COSINE)).select("row.*")
+    found = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_COSINE))
+    return found.select(*[F.col("lang_pred" if c == "lang" else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +60,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents' columns, epoch and words taken, a row for each time one is taken."""
+    """The mix of sources: documents' columns, the epoch and the words taken, a row for each time one is taken."""
     return mixing.mixed(docs)
 
 
