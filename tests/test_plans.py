@@ -146,3 +146,102 @@ def test_cli_prescribed_run(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/o/summaries/two days", header=True).count() == 4
     assert cli.main(["run", str(config), "--skip-existing"]) == 0
     assert cli.main(["run", str(config), "--quick-test", "1", "--run-id", "short"]) == 0
+    found = spark.read.parquet(f"{tmp_path}/o/rasters")
+    assert {r[0] for r in found.select("run_id").distinct().collect()} == {"two days", "short"}
+
+
+def test_cli_custom_folders_and_skipping(spark, tmp_path, capsys):
+    pytest.importorskip("yaml")
+    import yaml
+
+    (tmp_path / "levels.csv").write_text("\n".join(["time,a"] + [f"2025-01-01T{i // 10:02d}:{i % 10 * 6:02d}:00Z,{0.3 * math.sin(i / 20):.4f}" for i in range(240)]))
+    (tmp_path / "dem.asc").write_text("ncols 2\nnrows 2\nxllcorner 0\nyllcorner 0\ncellsize 30\nNODATA_value -9999\n-0.3 0.4\n-0.1 -9999\n")
+    output = {"root": str(tmp_path / "o"), "rasters": str(tmp_path / "r"), "summaries": str(tmp_path / "s"), "run_id": "mine", "write_daily": True, "daily_metrics": ["time_integrated__shallow_band"]}
+    config = tmp_path / "c.yaml"
+    config.write_text(yaml.safe_dump(raw(domain={"dem_path": str(tmp_path / "dem.asc")}, gauges={"prescribed_file": str(tmp_path / "levels.csv")}, output=output)))
+    verb = ["run", str(config), "--average", "--no-total", "--export", "asc"]
+    assert cli.main(verb) == 0 and "there already" not in capsys.readouterr().out
+    assert cli.main([*verb, "--skip-existing"]) == 0 and "there already" in capsys.readouterr().out
+    assert cli.main(["run", str(config), "--skip-existing"]) == 0 and "there already" not in capsys.readouterr().out
+    assert (tmp_path / "s" / "mine").exists() and (tmp_path / "r_asc" / "mine__area_available_bin__shallow_band.asc").exists()
+    assert "win_shallow_band" in spark.read.parquet(f"{tmp_path}/o/daily/run_id=mine").columns and not (tmp_path / "o" / "rasters").exists()
+    assert spark.read.parquet(f"{tmp_path}/o/daily/run_id=mine").columns == ["cell_id", "win_shallow_band", "day"]
+
+
+def test_days_results_and_alias(spark, tmp_path):
+    from tidewright.plans.simulation import Inputs, Result, Run, Settings
+    from tidewright.sources import grids
+
+    cells, levels = grids.synthetic(spark, 6, 8, 2)
+    run = Run(Inputs(cells, levels, 6), Settings({"b": (-1.5, 0.0)}, [0.5], 6, first_day=40), "r", metadata={"domain": "d"})
+    days = {}
+    assert run.each_day(lambda day, df: days.__setitem__(day, df.agg({"win_b": "sum"}).first()[0])) == 2
+    assert list(days) == [40, 41] and sum(days.values()) == run.minutes.agg({"win_b": "sum"}).first()[0]
+    run.result().save(str(tmp_path))
+    back = Result.load(spark, str(tmp_path), "r")
+    assert (back.n_days, back.cell_area_m2, back.metadata) == (2, 900.0, {"domain": "d"})
+    assert sorted(map(str, back.summary.collect())) == sorted(map(str, run.summary().collect())) and back.minutes.count() == run.minutes.count()
+    with pytest.warns(DeprecationWarning):
+        assert Settings(slr_offset_m=0.5).offset == 0.5
+    with pytest.warns(DeprecationWarning), pytest.raises(ValueError):
+        Settings(offset=1.0, slr_offset_m=0.5)
+
+
+def test_fetch_and_run_from_files(spark, tmp_path, monkeypatch, capsys):
+    """Stations, offsets, levels and tiles from files: one gauge's offset is filled from around, one gauge has no levels."""
+    yaml = pytest.importorskip("yaml")
+    from datetime import date, timedelta
+
+    from tidewright.operators import hilo
+    from tidewright.plans import zones
+    from tidewright.sources import grids, remote
+
+    web = tmp_path / "web"
+    web.mkdir()
+    base = f"file://{web}"
+    sites = {"a": (-97.06, 27.60), "b": (-97.02, 27.62), "c": (-97.04, 27.64)}
+    listed = {"stations": [{"id": k, "name": k.upper(), "lat": y, "lng": x, "state": "TX"} for k, (x, y) in sites.items()]}
+    (web / "stations.json?type=waterlevels").write_text(json.dumps(listed))
+    for k, height in (("a", 1.0), ("c", 2.0)):
+        (web / f"{k}.json?units=metric").write_text(json.dumps({"units": "meters", "datums": [{"name": "NAVD88", "value": height}, {"name": "MLLW", "value": 0.5}]}))
+    first, last = date(2025, 1, 2), date(2025, 1, 3)
+    span = first - timedelta(hilo.PAD_DAYS), last + timedelta(hilo.PAD_DAYS)
+    for k in ("a", "b"):
+        (_, url), = remote.series_requests(f"{base}/levels", k, *span, product="water_level", datum="MLLW", units="metric", time_zone="gmt", format="json")
+        rows = [{"t": f"{first + timedelta(i // 240)} {i % 240 // 10:02d}:{i % 10 * 6:02d}", "v": f"{0.4 * math.sin(i / 20):.3f}"} for i in range(480)]
+        (web / url.rsplit("/", 1)[1]).write_text(json.dumps({"data": rows}))
+    (web / "index.html").write_text('<a href="TX/index.html">TX</a><a href="FL/index.html">FL</a>')
+    (web / "TX").mkdir()
+    name, n = "ncei19_n27x75_w097x25_2022v1.tif", 60
+    plane = lambda lon, lat: 20 * (lon + 97.04) + 5 * (lat - 27.62)
+    lines = [" ".join(f"{plane(-97.25 + (c + 0.5) / 240, 27.75 - (r + 0.5) / 240):.5f}" for c in range(n)) for r in range(n)]
+    (web / "TX" / name).write_text(f"ncols {n}\nnrows {n}\nxllcorner -97.25\nyllcorner 27.5\ncellsize {1 / 240!r}\nNODATA_value -9999\n" + "\n".join(lines) + "\n")
+    (web / "TX" / "index.html").write_text(f'<a href="{name}">{name}</a> ({(web / "TX" / name).stat().st_size / 1e6:.4f} MB)')
+    for attribute, value in (("CATALOGUE", f"{base}/stations.json"), ("DATUMS", base + "/{}.json"), ("LEVELS", f"{base}/levels"), ("CONVERSION", f"{base}/none"), ("TILES", base)):
+        monkeypatch.setattr(cli, attribute, value)
+    monkeypatch.setattr(grids, "read_geotiff", grids.read_ascii)
+    monkeypatch.setattr(remote, "RETRIES", 1)
+    paths = {"dem_path": str(tmp_path / "dem"), "gauge_zones_path": str(tmp_path / "zones")}
+    gauges = {"source": "coops", "year": 2025, "start": str(first), "end": str(last), "cache_dir": str(tmp_path / "cache"), "min_obs_coverage_pct": 50}
+    config = tmp_path / "c.yaml"
+    config.write_text(yaml.safe_dump(raw(domain={"bbox": [-97.08, 27.58, -97.01, 27.66], "resolution_m": 200, **paths}, gauges=gauges, output={"root": str(tmp_path / "o")}, refugia_thresholds=[0.2])))
+    assert cli.main(["fetch", str(config)]) == 0, capsys.readouterr()
+    told = capsys.readouterr().out
+    assert "1 tiles" in told and "dropped for want of levels: c" in told
+    kept = {r["station_id"]: (r["gauge_idx"], r["offset_source"], r["offset_m"]) for r in zones.kept_gauges(spark, paths["gauge_zones_path"]).collect()}
+    assert set(kept) == {"a", "b"} and kept["a"][1:] == ("published", 0.5) and kept["b"][1] == "idw" and 0.5 < kept["b"][2] < 1.5
+    dem, grid = grids.read_pixels(spark, paths["dem_path"])
+    assert grid.transform[0] == 200 and grid.transform[2] % 200 == 0 and dem.filter("z is not null").count() == grid.width * grid.height
+    zoned = {r["z"] for r in grids.read_pixels(spark, paths["gauge_zones_path"])[0].select("z").distinct().collect()}
+    assert zoned == {1.0, 2.0}
+
+    # The run starts from what was kept: the services are gone.
+    monkeypatch.setattr(cli, "CATALOGUE", "file:///nowhere")
+    monkeypatch.setattr(cli, "offsets", lambda *a, **k: pytest.fail("offsets are known"))
+    assert cli.main(["run", str(config)]) == 0, capsys.readouterr()
+    assert "drawing them again" not in capsys.readouterr().out
+    values = spark.read.parquet(f"{tmp_path}/o/rasters").filter("metric = 'time_integrated' and value > 0")
+    assert values.count() > 0
+    # A second fetch finds all in place.
+    monkeypatch.undo()
+

@@ -158,6 +158,50 @@ def test_nearest_gauge_matches_brute_force(spark):
             assert r["gauge"] == min(points[:n], key=lambda p: ((p[1] - r["x"]) ** 2 + (p[2] - r["y"]) ** 2, p[0]))[0]
 
 
+def test_runs_stand_side_by_side(spark, tmp_path):
+    from tidewright.plans.simulation import Inputs, Run, Settings
+
+    cells, levels = grids.synthetic(spark, 6, 8, 1)
+    path, sums = str(tmp_path / "m"), {}
+    for run_id, t in (("one", [0.5, 1.0]), ("two", [0.2]), ("one", [0.5])):
+        run = Run(Inputs(cells, levels, 6), Settings({"b": (-1.5, 0.0)}, t, 6), run_id)
+        results.write_metrics(results.long_metrics(cells, run.minutes, run_id, ["b"], t, 1), path, run_id)
+        sums[run_id] = run.minutes.agg({"win_b": "sum"}).first()[0]
+    for run_id, t in (("one", [0.5]), ("two", [0.2])):
+        assert results.has_run(spark, path, run_id, ["b"], t)
+        assert results.read_metrics(spark, path, run_id, ["b"], t).agg({"win_b": "sum"}).first()[0] == sums[run_id]
+    assert not results.has_run(spark, path, "one", ["b"], [1.0])
+    results.write_metrics(results.long_metrics(cells, run.minutes, "bare", ["b"], [0.5], 1, False, True), path, "bare")
+    assert results.has_run(spark, path, "bare", ["b"], [0.5], True, False) and not results.has_run(spark, path, "bare", ["b"], [0.5])
+
+
+def test_exported_rasters_and_daily_settings(spark, tmp_path):
+    from tidewright.plans.simulation import Inputs, Run, Settings
+
+    cells, levels = grids.synthetic(spark, 6, 8, 2)
+    run = Run(Inputs(cells, levels, 6), Settings({"b": (-1.5, 0.0)}, [0.5], 6), "r1")
+    metrics = results.long_metrics(cells, run.minutes, "r1", ["b"], [0.5], 2)
+    grid = grids.Grid(8, 6, (30.0, 0.0, 0.0, 0.0, -30.0, 180.0))
+    written = results.export_rasters(metrics, grid, str(tmp_path), results.metric_names("r1", ["b"], [0.5]))
+    assert len(written) == 4 and f"{tmp_path}/r1__refugia_time_min__thr_0p50.asc" in written
+    back, there = grids.read_pixels(spark, f"{tmp_path}/r1__time_integrated_min__b.asc")
+    assert (there.width, there.height) == (8, 6) and back.agg({"z": "sum"}).first()[0] == run.minutes.agg({"win_b": "sum"}).first()[0]
+    assert results.daily_columns(["b"], [0.5], ["refugia_time__thr_0p50"]) == results.daily_columns(["b"], [0.5], ["ref_0p50"]) == ["ref_0p50"]
+    results.write_daily(run.daily(), f"{tmp_path}/d", 10, ["win_b"], "int16", "deflate")
+    daily = spark.read.parquet(f"{tmp_path}/d")
+    assert dict(daily.dtypes) == {"cell_id": "bigint", "win_b": "smallint", "day": "int"} and {r[0] for r in daily.select("day").distinct().collect()} == {10, 11}
+
+
+def test_listings(spark):
+    page = """<A class=x HREF='TX/index.html'>TX</A> <a href="FL/INDEX.html">FL</a> <a href="http://x.org/old/index.html">no</a>
+      <a href="./ncei19_n27X75_w097x25_2022v1.tif" >ncei19_n27X75_w097x25_2022v1.tif</a> ( 12.5 MB ) <a href="a.tif">a.tif</a> (1 MB)
+      <a href="https://y.org/ncei19_n27x75_w097x25_2019v1.tif"> ncei19_n27x75_w097x25_2019v1.tif</a>\n(3MB) <a href="ncei19_n27x75_w097x50_2019v1.tif">ncei19_n27x75_w097x50_2019v1.tif</a>"""
+    pages = spark.createDataFrame([("TX", "https://z.org/dem/TX/index.html", page)], "region string, url string, html string")
+    assert [r["region"] for r in tiles.folders(pages).orderBy("pos").collect()] == ["TX", "FL"]
+    found = {r["url"]: (r["sw_lat"], r["sw_lon"], r["year"], r["size_mb"]) for r in tiles.listed_tiles(pages).collect()}
+    assert found == {"https://z.org/dem/TX/ncei19_n27X75_w097x25_2022v1.tif": (27.5, -97.25, 2022, 12.5), "https://y.org/ncei19_n27x75_w097x25_2019v1.tif": (27.5, -97.25, 2019, 3.0)}
+
+
 def test_metrics_round_trip(spark, tmp_path):
     cells, levels = grids.synthetic(spark, 6, 8, 1)
     from tidewright.plans.simulation import Inputs, Run, Settings
@@ -165,7 +209,7 @@ def test_metrics_round_trip(spark, tmp_path):
     run = Run(Inputs(cells, levels, 6), Settings({"b": (-1.5, 0.0)}, [0.5], 6), "r1")
     path = str(tmp_path / "m")
     assert not results.has_run(spark, path, "r1", ["b"], [0.5])
-    results.write_metrics(results.long_metrics(cells, run.minutes, "r1", ["b"], [0.5], 1), path)
+    results.write_metrics(results.long_metrics(cells, run.minutes, "r1", ["b"], [0.5], 1), path, "r1")
     assert results.has_run(spark, path, "r1", ["b"], [0.5]) and not results.has_run(spark, path, "r1", ["b"], [0.5], True)
     back = results.read_metrics(spark, path, "r1", ["b"], [0.5])
     assert back.agg({"win_b": "sum"}).first()[0] == run.minutes.agg({"win_b": "sum"}).first()[0]
@@ -241,7 +285,7 @@ def test_zones(spark, tmp_path):
     assert found[0] == 0 and found[1] == 1 and found[39] == 2
     path = str(tmp_path / "z")
     assert not zones.zones_current(spark, path, table)
-    zones.write_zones(drawn, table, path)
+    zones.write_zones(drawn, table, path, grid)
     assert zones.zones_current(spark, path, table) and not zones.zones_current(spark, path, table.limit(1))
     assert grids.read_pixels(spark, path)[1].width == 40
     with pytest.raises(ValueError):

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Mean earth radius in km; km a degree of latitude, and of longitude at the equator.
 EARTH_KM, KM_LAT, KM_LON = 6371.0088, 110.574, 111.320
 CIRCLE_VERTICES = 128
+#: Points along each edge of a box that is projected.
+EDGE = 23
 LEAST_COS = 1e-6
 
 BBox = tuple[float, float, float, float]
@@ -119,6 +121,18 @@ def to_utm(lon: Column, lat: Column, zone: int, north: bool = True) -> tuple[Col
     return x, y + F.lit(0.0 if north else 1e7)
 
 
+def utm_grid(spark: SparkSession, bbox: BBox, epsg: int, res: float) -> tuple[float, float, int, int]:
+    """(x origin, y origin, width, height) of the snapped grid of a UTM zone that covers a lon/lat box, whose edges are followed at EDGE points each."""
+    if epsg // 100 not in (326, 327):
+        raise ValueError(f"EPSG:{epsg} is no UTM zone")
+    x0, y0, x1, y1 = bbox
+    along = [i / (EDGE - 1) for i in range(EDGE)]
+    edge = [(x0 + t * (x1 - x0), y) for t in along for y in (y0, y1)] + [(x, y0 + t * (y1 - y0)) for t in along for x in (x0, x1)]
+    x, y = to_utm(F.col("lon"), F.col("lat"), epsg % 100, epsg // 100 == 326)
+    projected = spark.createDataFrame(edge, "lon double, lat double").select(x.alias("x"), y.alias("y"))
+    return snapped_grid(*projected.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first(), res)
+
+
 def from_utm(x: Column, y: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
     """(lon, lat) of an easting and northing: the inverse of to_utm."""
     ep2, e1 = _E2 / (1 - _E2), (1 - math.sqrt(1 - _E2)) / (1 + math.sqrt(1 - _E2))

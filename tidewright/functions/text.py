@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The form of a tile's name, and of listings that name tiles and folders.
+# Fixed value: the form of a tile's name.
 TILE = r"(?i)ncei19_n(\d+)x(\d+)_w(\d+)x(\d+)_(\d{4})v(\d+)\.tif"
-TILE_LINK = r'(?i)<a href="([^"]+\.tif)"[^>]*>([^<]+\.tif)</a>\s*\(([\d.]+)\s*MB\)'
-FOLDER_LINK = r'(?i)<a href="([A-Za-z0-9_]+)/index\.html"'
+#: A link of a page: its target, what it shows, and the text after it up to the next tag.
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>([^<]*)"""
+MEGABYTES = r"(?i)\(\s*(\d+(?:\.\d+)?|\.\d+)\s*MB\s*\)"
+INDEX = "/index.html"
 TILE_DEGREES = 0.25
 
 
@@ -16,6 +18,12 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit('href="([^"]+)"'), F.lit(1))
 
 
+def anchors(html: Column) -> Column:
+    """(target, shown, after) of each link of a page, in order."""
+    part = lambda i: lambda a: F.regexp_extract(a, ANCHOR, i)
+    return F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)), lambda a: F.struct(F.trim(part(1)(a)).alias("target"), F.trim(part(2)(a)).alias("shown"), part(3)(a).alias("after")))
+
+
 def tile(name: Column) -> Column:
     """South-west corner, year and version in a tile's name; null if it has another form."""
     part = [F.regexp_extract(name, TILE, i).try_cast("int") for i in range(1, 7)]

@@ -217,10 +217,13 @@ def inundation(cells: DataFrame, series: DataFrame, windows: Windows, thresholds
     """Minutes of every usable cell; cells that no step can satisfy are 0 without being looked at. By day, those have no rows.
 
     With search, cells flow through as they are read. With levels, distinct beds are worked out and
-    joined back to the cells, which is the one join of the grid.
+    joined back to the cells, which is the one join of the grid. The series, a row a gauge and step, is
+    read several times and is kept in memory, as the histogram is, until the session's cache is cleared.
     """
     from tidewright.operators.series import extremes
 
+    if not (series.storageLevel.useMemory or series.storageLevel.useDisk):
+        series = series.persist()
     steps = lit_steps(series, timestep, daylight, exclusive)
     flagged = prune(usable(cells), extremes(series), windows, thresholds)
     if not pruned:

@@ -29,19 +29,19 @@ def segments(events: DataFrame) -> DataFrame:
     return pairs.filter("t1 > t0")
 
 
-def minute_series(events: DataFrame, n_minutes: int) -> DataFrame:
-    """(gauge, minute, level) for minutes 0 to n - 1: 0 before the first event, the last level after the last."""
+def minute_series(events: DataFrame, n_minutes: int, method: str = "sinusoidal") -> DataFrame:
+    """(gauge, minute, level) for minutes 0 to n - 1, by half cycles or straight lines: 0 before the first event, the last level after the last."""
     cut = segments(events).withColumns({"a": F.greatest("t0", F.lit(0)), "b": F.least("t1", F.lit(n_minutes))}).filter("b > a")
     each = cut.withColumn("minute", F.explode(F.sequence("a", F.col("b") - 1)))
     share = (F.col("minute") - F.col("t0")).cast("double") / (F.col("t1") - F.col("t0")).cast("double")
-    inside = each.select("gauge", "minute", half_cycle(F.col("h0"), F.col("h1"), share).alias("value"))
+    inside = each.select("gauge", "minute", (half_cycle(F.col("h0"), F.col("h1"), share) if method == "sinusoidal" else F.col("h0") + (F.col("h1") - F.col("h0")) * share).alias("value"))
     ends = events.groupBy("gauge").agg(F.max("t_min").alias("end"), F.max_by("level", "t_min").alias("tail"))
     every = ends.withColumn("minute", F.explode(F.sequence(F.lit(0), F.lit(n_minutes - 1))))
     tail = F.when(F.col("minute") >= F.col("end"), F.col("tail")).otherwise(F.lit(0.0))
     return every.join(inside, ["gauge", "minute"], "left").select("gauge", "minute", F.coalesce("value", tail).alias("level"))
 
 
-def padded_series(events: DataFrame, n_minutes: int) -> DataFrame:
+def padded_series(events: DataFrame, n_minutes: int, method: str = "sinusoidal") -> DataFrame:
     """As minute_series, with the first and last level held to the window's ends; gauges with one event or none are left empty.
 
     The first event after the window's begin (or the last before its end) is repeated there.
@@ -51,6 +51,6 @@ def padded_series(events: DataFrame, n_minutes: int) -> DataFrame:
     usable = bounds.filter("n >= 2")
     head = usable.filter("lo > 0").select("gauge", F.lit(0).cast(clean.schema["t_min"].dataType).alias("t_min"), F.col("first").alias("level"))
     tail = usable.filter(F.col("hi") < n_minutes).select("gauge", F.lit(n_minutes).cast(clean.schema["t_min"].dataType).alias("t_min"), F.col("last").alias("level"))
-    full = minute_series(clean.join(usable.select("gauge"), "gauge", "left_semi").unionByName(head).unionByName(tail), n_minutes)
+    full = minute_series(clean.join(usable.select("gauge"), "gauge", "left_semi").unionByName(head).unionByName(tail), n_minutes, method)
     empty = bounds.filter("n < 2").select("gauge", F.explode(F.sequence(F.lit(0), F.lit(n_minutes - 1))).alias("minute"), F.lit(None).cast("double").alias("level"))
     return full.unionByName(empty)

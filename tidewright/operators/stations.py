@@ -16,9 +16,23 @@ STATION = "station_id string, name string, lat double, lon double, state string,
 LITERAL_SITES = 64
 #: Sites sent with every task: 24 bytes each.
 MOST_SITES = 1_000_000
+#: Stations that a broadcast may hold: 100,000 rows of 40 bytes.
+MOST_KNOWN = 100_000
 COINCIDENT_KM = 0.001
 
 
+class StationError(ValueError):
+    """Stations are missing or cannot be used."""
+
+
+class DatumError(ValueError):
+    """A datum offset is missing."""
+
+
+class HybridError(ValueError):
+    """Own and fetched gauges do not go together."""
+
+
 def catalogue(*sources: DataFrame) -> DataFrame:
     """Stations of all sources; of one id, that of the first source that has it."""
     every = None
@@ -128,18 +142,20 @@ def source_counts(resolved: DataFrame) -> DataFrame:
 def require_offsets(resolved: DataFrame) -> DataFrame:
     missing = [r[0] for r in resolved.filter("offset_m is null").select("station_id").orderBy("station_id").limit(5).collect()]
     if missing:
-        raise ValueError(f"no datum offset for stations {', '.join(missing)}")
+        raise DatumError(f"no datum offset for stations {', '.join(missing)}")
     return resolved
 
 
 def interpolated(resolved: DataFrame, power: float = 2.0, k: int | None = None, coincident_km: float = COINCIDENT_KM) -> DataFrame:
     """Offsets of stations without one, weighted by inverse distance from the k nearest that have one.
 
-    One that stands at the same place gives its own. Pairs are unresolved by resolved stations, both
-    parts of one station table.
+    One that stands at the same place gives its own. Each unresolved station is weighed against all
+    resolved ones, which go along with the tasks; there may be MOST_KNOWN of these.
     """
     known = resolved.filter("offset_m is not null").select(F.col("station_id").alias("from_id"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("offset_m").alias("v"))
-    pairs = resolved.filter("offset_m is null").select("station_id", "lon", "lat").crossJoin(known)
+    if known.limit(MOST_KNOWN + 1).count() > MOST_KNOWN:
+        raise StationError(f"more than {MOST_KNOWN} stations with an offset")
+    pairs = resolved.filter("offset_m is null").select("station_id", "lon", "lat").crossJoin(F.broadcast(known))
     pairs = pairs.withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")))
     if k is not None:
         nearest = Window.partitionBy("station_id").orderBy(F.round("km", 9), "from_id")
@@ -175,7 +191,7 @@ def nearest_gauge(cells: DataFrame, sites: DataFrame, x: Column, y: Column, excl
     """cells with `gauge`, the number of the nearest site (ties: the lowest); 0 where excluded. sites: (gauge, x, y), planar."""
     points = sites.select(F.col("gauge").cast("int"), F.col("x").cast("double"), F.col("y").cast("double")).orderBy("gauge").limit(MOST_SITES + 1).collect()
     if not points:
-        raise ValueError("there is no gauge to assign cells to")
+        raise StationError("there is no gauge to assign cells to")
     if len(points) > MOST_SITES:
         raise ValueError(f"more than {MOST_SITES} gauges")
     rest = [c for c in cells.columns if c != "gauge"]
@@ -228,7 +244,7 @@ def hybrid(own: DataFrame, fetched: DataFrame) -> DataFrame:
     sizes = [df.groupBy("gauge").agg((F.max("rec") + 1).alias("n")).agg(F.min("n"), F.max("n"), F.max("gauge")).first() for df in (own, fetched)]
     lengths = {s[i] for s in sizes for i in (0, 1)}
     if len(lengths) != 1:
-        raise ValueError(f"series differ in length: {sorted(x or 0 for x in lengths)} records")
+        raise HybridError(f"series differ in length: {sorted(x or 0 for x in lengths)} records")
     return own.unionByName(fetched.withColumn("gauge", (F.col("gauge") + F.lit(sizes[0][2])).cast(own.schema["gauge"].dataType)))
 
 
@@ -236,5 +252,5 @@ def with_sites(columns: DataFrame, sites: DataFrame) -> DataFrame:
     """Series columns with their sites' places; one without a site is an error."""
     missing = [r[0] for r in columns.join(sites, "station_id", "left_anti").select("station_id").limit(5).collect()]
     if missing:
-        raise ValueError(f"no place is known for {', '.join(missing)}")
+        raise HybridError(f"no place is known for {', '.join(missing)}")
     return columns.join(sites, "station_id")

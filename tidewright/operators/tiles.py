@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.geo import BBox, from_utm
-from tidewright.functions.text import FOLDER_LINK, TILE_DEGREES, TILE_LINK, tile
+from tidewright.functions.text import INDEX, MEGABYTES, TILE_DEGREES, anchors, tile
+
+class TileError(ValueError):
+    """No tile, or none that can be read, where one is needed."""
+
 
 BOX = "xmin double, ymin double, xmax double, ymax double"
 
@@ -73,16 +77,18 @@ def datum_region(lon: Column, lat: Column) -> Column:
 
 def folders(pages: DataFrame, html: str = "html") -> DataFrame:
     """(region, pos) of the folders that a listing links to, each at its first place."""
-    found = pages.select(F.posexplode(F.regexp_extract_all(F.col(html), F.lit(FOLDER_LINK), F.lit(1))).alias("pos", "region"))
+    found = pages.select(F.posexplode(anchors(F.col(html))).alias("pos", "x")).filter(F.lower("x.target").endswith(INDEX))
+    found = found.select("pos", F.expr(f"left(x.target, length(x.target) - {len(INDEX)})").alias("region")).filter(F.col("region").rlike("^\\w+$"))
     return found.groupBy("region").agg(F.min("pos").alias("pos"))
 
 
 def listed_tiles(pages: DataFrame, html: str = "html", region: str = "region", base: str = "url") -> DataFrame:
     """Tiles in listings (region, url, html); links that are no tiles are left out."""
-    link = F.explode(F.regexp_extract_all(F.col(html), F.lit(TILE_LINK), F.lit(0))).alias("link")
-    part = [F.regexp_extract("link", TILE_LINK, i) for i in (1, 2, 3)]
-    rows = pages.select(F.col(region).alias("region"), F.col(base).alias("base"), link)
-    rows = rows.select("region", F.when(part[0].rlike("(?i)^https?://"), part[0]).otherwise(F.concat(F.regexp_replace("base", "[^/]*$", ""), part[0])).alias("url"), part[1].alias("name"), part[2].try_cast("double").alias("size_mb"))
+    rows = pages.select(F.col(region).alias("region"), F.regexp_replace(base, "[^/]*$", "").alias("base"), F.explode(anchors(F.col(html))).alias("x"))
+    size = F.regexp_extract("x.after", MEGABYTES, 1).try_cast("double")
+    whole = F.col("x.target").rlike("(?i)^[a-z]+:")
+    url = F.when(whole, F.col("x.target")).otherwise(F.concat("base", F.regexp_replace("x.target", r"^(\./)+", "")))
+    rows = rows.filter(F.lower("x.target").endswith(".tif")).select("region", url.alias("url"), F.col("x.shown").alias("name"), size.alias("size_mb")).filter("size_mb is not null")
     return rows.withColumn("t", tile(F.col("name"))).filter("t is not null").select("name", "url", "region", "t.*", "size_mb")
 
 

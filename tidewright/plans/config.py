@@ -181,7 +181,7 @@ class RunConfig:
         s, g = self.simulation, self.gauges
         if s.timestep_min < 1 or 1440 % s.timestep_min:
             raise ConfigError(f"a timestep of {s.timestep_min} min does not divide a day")
-        for value, allowed, what in ((s.gauge_interp, METHODS, "interpolation"), (s.surface_update, MODES, "surface rule"), (s.gap_policy, POLICIES, "gap rule"), (s.daylight_bounds, BOUNDS, "daylight bounds"), (g.source, SOURCES, "gauge source"), (g.fill_gaps, ("hold", "interpolate", "nan"), "filling")):
+        for value, allowed, what in ((s.gauge_interp, METHODS, "interpolation"), (s.surface_update, MODES, "surface rule"), (s.gap_policy, POLICIES, "gap rule"), (s.daylight_bounds, BOUNDS, "daylight bounds"), (g.source, SOURCES, "gauge source"), (g.fill_gaps, ("hold", "interpolate", "nan"), "filling"), (g.hilo_interp, METHODS, "interpolation of high and low waters")):
             if value not in allowed:
                 raise ConfigError(f"unknown {what}: {value}; choose from {', '.join(allowed)}")
         if g.source != "coops":

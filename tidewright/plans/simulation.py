@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators import duration, series, summary
 from tidewright.plans.config import BOUNDS, RunConfig
 
 
+ABOUT = "run_id string, n_days int, cell_area_m2 double, metadata map<string,string>"
+
+
 @dataclass
 class Inputs:
     """Cells (cell_id, row, col, dem, gauge, nodata) and records (gauge, rec, level) of an interval in minutes."""
@@ -42,8 +46,15 @@ class Settings:
     daylight_bounds: str = "inclusive"
     first_day: int = 0
     plan: str = "auto"
+    #: Deprecated name of offset.
+    slr_offset_m: float | None = None
 
     def __post_init__(self) -> None:
+        if self.slr_offset_m is not None:
+            warnings.warn("slr_offset_m is deprecated; say offset", DeprecationWarning, stacklevel=3)
+            if self.offset:
+                raise ValueError("offset and its deprecated name are both given")
+            self.offset = float(self.slr_offset_m)
         if self.timestep < 1 or 1440 % self.timestep:
             raise ValueError(f"a timestep of {self.timestep} min does not divide a day")
         for value, allowed in ((self.method, series.METHODS), (self.mode, series.MODES), (self.gaps, series.POLICIES), (self.daylight_bounds, BOUNDS)):
@@ -61,6 +72,32 @@ class Settings:
         return cls(config.windows, config.thresholds, s.timestep_min, s.gauge_interp, s.surface_update, s.gap_policy, s.water_level_offset_m, daylight if s.constrain_daylight else None, s.daylight_bounds, day, s.plan)
 
 
+@dataclass
+class Result:
+    """What a run gives: minutes by cell, the long summary, and what they were made with."""
+
+    run_id: str
+    minutes: DataFrame
+    summary: DataFrame
+    n_days: int
+    cell_area_m2: float
+    metadata: dict[str, str] = field(default_factory=dict)
+
+    def save(self, path: str) -> None:
+        """Below path in a folder of the run's own."""
+        to = f"{path}/{self.run_id}"
+        self.minutes.write.mode("overwrite").parquet(f"{to}/minutes")
+        self.summary.coalesce(1).write.mode("overwrite").parquet(f"{to}/summary")
+        about = [(self.run_id, self.n_days, self.cell_area_m2, self.metadata)]
+        self.minutes.sparkSession.createDataFrame(about, ABOUT).coalesce(1).write.mode("overwrite").json(f"{to}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, run_id: str) -> Result:
+        at = f"{path}/{run_id}"
+        about = spark.read.schema(ABOUT).json(f"{at}/about").first()
+        return cls(run_id, spark.read.parquet(f"{at}/minutes"), spark.read.parquet(f"{at}/summary"), about["n_days"], about["cell_area_m2"], about["metadata"] or {})
+
+
 class Run:
     """Lazy until a result is read. The series is small (a row a gauge and step) and is kept once made."""
 
@@ -99,6 +136,22 @@ class Run:
         s = self.settings
         return duration.inundation(self.inputs.cells, self.series, s.windows, s.thresholds, s.timestep, by_day=True, **self._options())
 
+    def each_day(self, callback: Callable[[int, DataFrame], None]) -> int:
+        """Call back with every day's number (as written, from the first day on) and its minutes, in order; the number of days.
+
+        Days are made together, once, and kept while they are handed out.
+        """
+        daily = self.daily().persist()
+        try:
+            for day in range(self.n_days):
+                callback(day + self.settings.first_day, daily.filter(F.col("day") == day).drop("day"))
+        finally:
+            daily.unpersist()
+        return self.n_days
+
+    def result(self) -> Result:
+        return Result(self.run_id, self.minutes, self.summary(), self.n_days, self.cell_area_m2, self.metadata)
+
     def summary(self) -> DataFrame:
         s = self.settings
         row = summary.totals(self.minutes, list(s.windows), s.thresholds, self.cell_area_m2)

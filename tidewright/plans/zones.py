@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.geo import pixel_x, to_utm
 from tidewright.operators import stations
-from tidewright.sources.grids import Grid
+from tidewright.sources.grids import Grid, write_pixels
 
 
 def utm_sites(table: DataFrame, epsg: str) -> DataFrame:
@@ -28,15 +28,22 @@ def draw_zones(cells: DataFrame, grid: Grid, table: DataFrame, epsg: str) -> Dat
     return stations.nearest_gauge(cells, utm_sites(table, epsg), x, y, F.col("nodata"))
 
 
-def write_zones(zones: DataFrame, table: DataFrame, path: str) -> None:
-    """Pixels (row, col, z) as Parquet, and the gauges beside them."""
-    zones.select("row", "col", F.col("gauge").cast("double").alias("z")).write.mode("overwrite").parquet(path)
-    table.select("gauge_idx", "station_id").write.mode("overwrite").parquet(f"{path}.stations")
+def write_zones(zones: DataFrame, table: DataFrame, path: str, grid: Grid) -> None:
+    """Pixels (row, col, z) in the form that the path's ending names, and the gauges beside them, with their places and offsets."""
+    write_pixels(zones.select("row", "col", F.col("gauge").cast("double").alias("z")), "z", grid, path)
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}.stations")
+
+
+def kept_gauges(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The gauges that the zones at a path were drawn for, if any are."""
+    if not path:
+        return None
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.stations")
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.parquet(f"{path}.stations") if there else None
 
 
 def zones_current(spark: SparkSession, path: str, table: DataFrame) -> bool:
     """Whether zones were drawn for just these gauges."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.stations")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return False
-    return stations.zones_match(spark.read.parquet(f"{path}.stations"), table)
+    kept = kept_gauges(spark, path)
+    return kept is not None and stations.zones_match(kept, table)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.levels import NODATA
 
 PIXELS = "row int, col int, z double"
+GRID = "width int, height int, transform array<double>, crs string, nodata double"
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,11 @@ def read_geotiff(spark: SparkSession, path: str, band: int = 1) -> tuple[DataFra
     return spark.createDataFrame(strips, "a int, b int").repartition(len(strips), "a").mapInArrow(rows, PIXELS), grid
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_pixels(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
     """By the file's ending: .asc, .tif, else a Parquet folder of pixels."""
     end = path.lower().rsplit(".", 1)[-1]
@@ -97,6 +103,9 @@ def read_pixels(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
     if end in ("tif", "tiff"):
         return read_geotiff(spark, path)
     pixels = spark.read.parquet(path)
+    if exists(spark, f"{path}.grid"):
+        g = spark.read.schema(GRID).json(f"{path}.grid").first()
+        return pixels.select("row", "col", F.col("z").cast("double").alias("z")), Grid(g["width"], g["height"], g["transform"] and tuple(g["transform"]), g["crs"], g["nodata"])
     size = pixels.agg(F.max("col") + 1, F.max("row") + 1).first()
     return pixels.select("row", "col", F.col("z").cast("double").alias("z")), Grid(size[0] or 0, size[1] or 0)
 
@@ -155,6 +164,19 @@ def write_geotiff(pixels: DataFrame, value: str, grid: Grid, path: str, dtype: s
             dst.write(line, 1, window=Window(0, r["row"], grid.width, 1))
 
 
+def write_pixels(pixels: DataFrame, value: str, grid: Grid, path: str) -> None:
+    """By the file's ending, like read_pixels; beside a Parquet folder stands its grid."""
+    end = path.lower().rsplit(".", 1)[-1]
+    if end == "asc":
+        write_ascii(pixels, value, grid, path, NODATA)
+    elif end in ("tif", "tiff"):
+        write_geotiff(pixels, value, grid, path)
+    else:
+        pixels.select("row", "col", F.col(value).cast("double").alias("z")).write.mode("overwrite").parquet(path)
+        beside = [(grid.width, grid.height, grid.transform and list(grid.transform), grid.crs, grid.nodata)]
+        pixels.sparkSession.createDataFrame(beside, GRID).coalesce(1).write.mode("overwrite").json(f"{path}.grid")
+
+
 def synthetic(spark: SparkSession, rows: int = 60, columns: int = 90, days: int = 3, interval: int = 6, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(cells, records) of a ramp from -1 to 1 m with hashed noise and a missing corner, and a tide of two periods."""
     n = F.col("id")
