@@ -356,10 +356,10 @@ def hilo_segments(spark: SparkSession, sf: str) -> DataFrame:
     return hilo.segments(hilo_events(spark, sf))
 
 
-@register(sql("select g as gauge, m as minute, round(coalesce(cast(0.5 as double) * (h0 + h1) + cast(0.5 as double) * (h1 - h0) * sin(pi() * (cast(m - t0 as double) / (t1 - t0) - cast(0.5 as double))), case when m >= e then tail else 0 end), 6) + cast(0 as double) as level from (select gauge as g, max(t_min) as e, arg_max(level, t_min) as tail from hl group by gauge) x cross join (select unnest(range(0, 2880)) as m) left join seg on gauge = g and t1 > t0 and m >= t0 and m < t1", "hl", more=_SEG))
+@register(sql(f"select g as gauge, m as minute, round(coalesce(cast(0.5 as double) * (h0 + h1) + cast(0.5 as double) * (h1 - h0) * sin(pi() * (cast(m - t0 as double) / (t1 - t0) - cast(0.5 as double))), case when m >= e then tail else 0 end), 6) + cast(0 as double) as level from (select gauge as g, max(t_min) as e, arg_max(level, t_min) as tail from hl group by gauge) x cross join (select unnest(range(0, {HOURS * 60})) as m) left join seg on gauge = g and t1 > t0 and m >= t0 and m < t1", "hl", more=_SEG))
 def hilo_minutes(spark: SparkSession, sf: str) -> DataFrame:
-    """J6 over two days"""
-    return hilo.minute_series(hilo_events(spark, sf), 2880).withColumn("level", F.round("level", 6))
+    """J6 over all days"""
+    return hilo.minute_series(hilo_events(spark, sf), HOURS * 60).withColumn("level", F.round("level", 6))
 
 
 @register(sql("select gauge, t_min, level from hl where t_min between -2880 and 4320", "hl"))
@@ -502,11 +502,10 @@ def boxes_around(spark: SparkSession, sf: str) -> DataFrame:
     return station_table(spark, sf).select("station_id", *[F.round(c, 9).alias(n) for c, n in zip(box, ("xmin", "ymin", "xmax", "ymax"), strict=True)])
 
 
-@register(sql("select station_id, i, round(lon + 2 / (cast(111.32 as double) * cos(radians(lat))) * cos((i % 128) * (2 * pi() / 128)), 9) as x, round(lat + 2 / cast(110.574 as double) * sin((i % 128) * (2 * pi() / 128)), 9) as y from (select *, unnest(range(0, 129)) as i from st where cast(station_id as int) <= 10)", "st"))
+@register(sql("select station_id, i, round(lon + 2 / (cast(111.32 as double) * cos(radians(lat))) * cos((i % 128) * (2 * pi() / 128)), 9) as x, round(lat + 2 / cast(110.574 as double) * sin((i % 128) * (2 * pi() / 128)), 9) as y from (select *, unnest(range(0, 129)) as i from st)", "st"))
 def circles(spark: SparkSession, sf: str) -> DataFrame:
     """F6"""
-    some = station_table(spark, sf).filter(F.col("station_id").cast("int") <= 10)
-    rings = some.select("station_id", F.posexplode(geo.circle(F.col("lon"), F.col("lat"), F.lit(2.0))).alias("i", "p"))
+    rings = station_table(spark, sf).select("station_id", F.posexplode(geo.circle(F.col("lon"), F.col("lat"), F.lit(2.0))).alias("i", "p"))
     return rings.select("station_id", "i", F.round("p.lon", 9).alias("x"), F.round("p.lat", 9).alias("y"))
 
 
