@@ -185,6 +185,12 @@ def test_links_are_found_at_every_distance(spark):
     assert [len(simhash.segments(d)) for d in (1, 4, 5, 7, 9)] == [1, 3, 3, 4, 5]
 
 
+def test_links_broadcast_no_variants(spark, tmp_path):
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fps")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_representatives(spark):
     rows = EDGES + [(50, "same text " * 30), (51, "same text " * 30), (51, "same text " * 30)]
     docs = table(spark, rows).withColumn("fp", F.lit("clash"))

@@ -108,7 +108,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         first = first | (here & before & ((bit == at) | (differs != 0)))
         before = before & (F.bit_count(differs) > 1)
     same = (F.col("a.j") == F.col("b.j")) & (F.col("a.rest") == F.col("b.rest"))
-    pair = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= distance) & first)
+    # Spark's estimate leaves out that each fingerprint has as many rows as bits, and would broadcast them all.
+    pair = a.join(b.hint("merge"), same & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= distance) & first)
     return pair.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
