@@ -141,6 +141,18 @@ def test_tiles(spark):
     assert {r["tid"]: r["z"] for r in tiles.bilinear(plane, spots).collect()} == {1: 8.25, 2: None, 3: 12.0}
 
 
+def test_mosaic_of_equal_priorities(spark, tmp_path):
+    from tidewright import queries
+
+    size = lambda k: k * 7919 // 1000 % 50 + 1
+    part = spark.range(0, 30000, 1, 6).select(F.col("id").alias("p_partkey"), F.expr("cast(id * 7919 div 1000 % 50 + 1 as int)").alias("p_size"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    want = {}
+    for tile, k in sorted((k % 4, k) for k in range(30000) if size(k) > 5):
+        want.setdefault((k // 4 % 50, k // 200 % 50), size(k))
+    assert {(r["row"], r["col"]): r["dem"] for r in queries.mosaic(spark, str(tmp_path)).collect()} == want
+
+
 def test_utm(spark):
     from tidewright.functions.geo import to_utm
 

@@ -116,7 +116,7 @@ def footprint(tiles: DataFrame) -> DataFrame:
 
 
 def mosaic(pixels: DataFrame) -> DataFrame:
-    """(row, col, dem): of each pixel, the value of the first tile (by priority) that has one."""
+    """(row, col, dem): of each pixel, the value of the first tile (by priority, of any ordered type, no two alike at a pixel) that has one."""
     known = F.when(F.col("z").isNotNull() & ~F.isnan("z"), F.col("priority"))
     return pixels.groupBy("row", "col").agg(F.min_by("z", known).alias("dem"))
 

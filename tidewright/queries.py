@@ -551,9 +551,9 @@ def tiles_priority(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("select p_partkey // 4 % 50 as row, p_partkey // 200 % 50 as col, arg_min(z, priority) as dem from (select p_partkey, p_partkey % 4 as priority, case when p_size > 5 then p_size end as z from part) where z is not null group by 1, 2")
 def mosaic(spark: SparkSession, sf: str) -> DataFrame:
-    """J13 (overlay)"""
+    """J13 (overlay); of equal priorities the lowest key's, which the SQL meets first"""
     k = F.col("p_partkey")
-    pixels = read(spark, sf, "part").select(F.expr("p_partkey div 4 % 50").alias("row"), F.expr("p_partkey div 200 % 50").alias("col"), (k % 4).alias("priority"), F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).alias("z"))
+    pixels = read(spark, sf, "part").select(F.expr("p_partkey div 4 % 50").alias("row"), F.expr("p_partkey div 200 % 50").alias("col"), F.struct((k % 4).alias("tile"), k.alias("key")).alias("priority"), F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).alias("z"))
     first = tiles.mosaic(pixels).filter("dem is not null")
     return first.select("row", "col", F.col("dem").cast("int").alias("dem"))
 
