@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,59 @@ def test_nearest_gauge_matches_brute_force(spark):
             assert r["gauge"] == min(points[:n], key=lambda p: ((p[1] - r["x"]) ** 2 + (p[2] - r["y"]) ** 2, p[0]))[0]
 
 
+def test_nearest_of_crowded_sites_far_away():
+    import numpy as np
+
+    from tidewright.operators.sites import SiteTree
+
+    class Counted(SiteTree):
+        opened = 0
+
+        def _open(self, points, p, leaf):
+            self.opened += len(p)
+            return super()._open(points, p, leaf)
+
+    r = np.random.default_rng(1)
+    points = np.r_[r.random((200, 2)) * 400, np.c_[r.random(200) * 400, 70000 + r.random(200)], [[np.nan, 1]]]
+    for sites in (r.random((3000, 2)) * [400, 300], r.integers(0, 40, (700, 2)).astype(float), r.random((3, 2))):
+        tree = Counted(sites)
+        for k in (1, 3, 20):
+            i, j = tree.near(points, k)
+            far = ((points[:, None] - sites) ** 2).sum(axis=2)
+            want = far <= (np.sort(far, axis=1)[:, k - 1 : k] if k <= len(sites) else np.inf)
+            assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == list(zip(*(x.tolist() for x in np.nonzero(want)), strict=True))
+    tree = Counted(r.random((20000, 2)) * [400, 300])
+    tree.near(points)
+    assert tree.opened < 100 * len(points) < len(tree.members) * len(points) / 10
+
+
+def test_nearest_gauge_far_from_many_sites(spark):
+    # 30,000 sites at 1,200 places; the lowest gauge of a place counts.
+    sites = spark.range(30000).select(F.col("id").cast("int").alias("gauge"), (F.col("id") * 37 % 400).alias("x"), (F.col("id") * 91 % 300).alias("y"))
+    cells = spark.range(2000).select((F.col("id") % 50 * 7.0).alias("x"), (F.expr("id div 50") * 3.0 + 20000).alias("y")).unionAll(spark.sql("select double(null), 1d"))
+    got = stations.nearest_gauge(cells, sites, F.col("x"), F.col("y")).collect()
+    places = {}
+    for g in range(30000):
+        places.setdefault((g * 37 % 400, g * 91 % 300), g)
+    assert len(got) == 2001
+    for r in got[::50]:
+        assert r["gauge"] == (min((((x - r["x"]) ** 2 + (y - r["y"]) ** 2, g) for (x, y), g in places.items()))[1] if r["x"] is not None else 0)
+
+
+def test_nearest_gauge_of_very_many_sites_takes_no_pass_over_all(spark):
+    import numpy as np
+    import pandas as pd
+
+    n = 300_000
+    sites = np.random.default_rng(2).random((n, 2))
+    x, y = pd.Series(np.linspace(0, 1, 2000)), pd.Series(np.full(2000, 50.0))
+    start = time.monotonic()
+    got = stations._nearest(np.arange(n, dtype=np.int32), sites).func(x, y)
+    assert time.monotonic() - start < 15
+    for at in range(0, 2000, 200):
+        assert got[at] == ((sites[:, 0] - x[at]) ** 2 + (sites[:, 1] - y[at]) ** 2).argmin()
+
+
 def test_runs_stand_side_by_side(spark, tmp_path):
     from tidewright.plans.simulation import Inputs, Run, Settings
 

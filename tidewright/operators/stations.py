@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.geo import BBox, grow, haversine_km, in_ring
+from tidewright.operators.sites import SiteTree
 
 STATION = "station_id string, name string, lat double, lon double, state string, station_type string"
 #: Sites held as literals of the plan; more go to the tasks as an array.
@@ -206,28 +207,17 @@ def nearest_gauge(cells: DataFrame, sites: DataFrame, x: Column, y: Column, excl
 
 
 def _nearest(gauges: np.ndarray, sites: np.ndarray):
-    """Sites sorted by x; a point's search widens around its x until no nearer site can follow."""
-    order = np.argsort(sites[:, 0], kind="stable")
-    xs, ys, gs = sites[order, 0], sites[order, 1], gauges[order]
+    """Of sites at one place the lowest gauge alone can be the nearest. gauges: rising."""
+    places, first = np.unique(sites, axis=0, return_index=True)
+    tree, lowest, none = SiteTree(places), gauges[first], np.iinfo(np.int32).max
 
     @F.pandas_udf("int")
     def find(x, y):  # noqa: ANN001, ANN202
-        px, py = x.to_numpy(), y.to_numpy()
-        best, found = np.full(len(px), np.inf), np.zeros(len(px), np.int32)
-        right = np.searchsorted(xs, px)
-        left, n = right - 1, len(xs)
-        live = np.arange(len(px))
-        while len(live):
-            for place, step in ((right, 1), (left, -1)):
-                at = np.clip(place[live], 0, n - 1)
-                there = (place[live] >= 0) & (place[live] < n)
-                d = np.where(there, (xs[at] - px[live]) ** 2 + (ys[at] - py[live]) ** 2, np.inf)
-                better = (d < best[live]) | ((d == best[live]) & there & (gs[at] < found[live]))
-                best[live[better]], found[live[better]] = d[better], gs[at[better]]
-                place[live] += step
-            r, lft = np.clip(right[live], 0, n - 1), np.clip(left[live], 0, n - 1)
-            more = ((right[live] < n) & ((xs[r] - px[live]) ** 2 <= best[live])) | ((left[live] >= 0) & ((xs[lft] - px[live]) ** 2 <= best[live]))
-            live = live[more]
+        points = np.column_stack([x.to_numpy(np.float64, na_value=np.nan), y.to_numpy(np.float64, na_value=np.nan)])
+        i, j = tree.near(points)
+        found = np.full(len(points), none, np.int32)
+        np.minimum.at(found, i, lowest[j])
+        found[np.isnan(points).any(axis=1)] = 0
         return __import__("pandas").Series(found)
 
     return find
