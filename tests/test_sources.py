@@ -224,6 +224,38 @@ def test_nearest_gauge_of_very_many_sites_takes_no_pass_over_all(spark):
         assert got[at] == ((sites[:, 0] - x[at]) ** 2 + (sites[:, 1] - y[at]) ** 2).argmin()
 
 
+def test_offsets_of_the_k_nearest(spark):
+    import random
+
+    r = random.Random(5)
+    grid = [(-82 + r.randrange(6) * 0.05, 24 + r.randrange(6) * 0.05) for _ in range(150)]
+    globe = [(r.uniform(-180, 180), r.uniform(-90, 90)) for _ in range(150)] + [(180.0, 10.0), (-180.0, 10.0), (0.0, 90.0), (90.0, -90.0), (179.9, 10.0), (30.0, 80.0)]
+    for places in (grid, globe):
+        rows = [(f"{n:04d}", x, y, None if n % 4 == 0 else r.uniform(-1, 1)) for n, (x, y) in enumerate(places)]
+        known = [t for t in rows if t[3] is not None]
+        df = spark.createDataFrame([*rows, ("none", None, 1.0, None), ("nowhere", 1.0, None, 9.0)], "station_id string, lon double, lat double, offset_m double")
+
+        def km(a, b):
+            p, q = math.radians(a[2]), math.radians(b[2])
+            h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+            return 2 * 6371.0088 * math.asin(math.sqrt(min(1.0, h)))
+
+        for k in (1, 3, 40, 500):
+            got = {x["station_id"]: x["offset_m"] for x in stations.interpolated(df, 2.0, k).collect()}
+            assert got.pop("none") is None and len(got) == len(rows) - len(known)
+            for a in rows:
+                if a[3] is None:
+                    near = sorted((round(km(a, b), 9), b[0], b[3]) for b in known)[:k]
+                    twin = near[0][0] <= 0.001
+                    w = [d**-2 if d else 0 for d, *_ in near]
+                    want = near[0][2] if twin else sum(x * v for x, (*_, v) in zip(w, near, strict=True)) / sum(w)
+                    assert twin and got[a[0]] in {v for d, _, v in near if d <= 0.001} or abs(got[a[0]] - want) < 1e-9
+        plan = stations.interpolated(df, 2.0, 3)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert stations.interpolated(df.filter("offset_m is null"), 2.0, 3).count() == 0
+    assert stations.interpolated(df, 2.0, 0).count() == 0
+
+
 def test_runs_stand_side_by_side(spark, tmp_path):
     from tidewright.plans.simulation import Inputs, Run, Settings
 

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewright.functions.geo import BBox, grow, haversine_km, in_ring
+from tidewright.functions.geo import EARTH_KM, BBox, grow, haversine_km, in_ring
 from tidewright.operators.sites import SiteTree
 
 STATION = "station_id string, name string, lat double, lon double, state string, station_type string"
@@ -20,6 +21,7 @@ MOST_SITES = 1_000_000
 #: Stations that a broadcast may hold: 100,000 rows of 40 bytes.
 MOST_KNOWN = 100_000
 COINCIDENT_KM = 0.001
+SLACK_KM = 1e-8
 
 
 class StationError(ValueError):
@@ -150,13 +152,18 @@ def require_offsets(resolved: DataFrame) -> DataFrame:
 def interpolated(resolved: DataFrame, power: float = 2.0, k: int | None = None, coincident_km: float = COINCIDENT_KM) -> DataFrame:
     """Offsets of stations without one, weighted by inverse distance from the k nearest that have one.
 
-    One that stands at the same place gives its own. Each unresolved station is weighed against all
-    resolved ones, which go along with the tasks; there may be MOST_KNOWN of these.
+    One that stands at the same place gives its own. The k nearest are sought in a tree of the known
+    places, which goes along with the tasks; there may be MOST_SITES of these. Without k each unresolved
+    station is weighed against all resolved ones; there may be MOST_KNOWN of these.
     """
     known = resolved.filter("offset_m is not null").select(F.col("station_id").alias("from_id"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("offset_m").alias("v"))
-    if known.limit(MOST_KNOWN + 1).count() > MOST_KNOWN:
-        raise StationError(f"more than {MOST_KNOWN} stations with an offset")
-    pairs = resolved.filter("offset_m is null").select("station_id", "lon", "lat").crossJoin(F.broadcast(known))
+    wanted = resolved.filter("offset_m is null").select("station_id", "lon", "lat")
+    if k is not None:
+        pairs = _near_pairs(wanted, known, k)
+    else:
+        if known.limit(MOST_KNOWN + 1).count() > MOST_KNOWN:
+            raise StationError(f"more than {MOST_KNOWN} stations with an offset")
+        pairs = wanted.crossJoin(F.broadcast(known))
     pairs = pairs.withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")))
     if k is not None:
         nearest = Window.partitionBy("station_id").orderBy(F.round("km", 9), "from_id")
@@ -167,6 +174,49 @@ def interpolated(resolved: DataFrame, power: float = 2.0, k: int | None = None,
     return mean.select("station_id", F.coalesce("twin", "mean").alias("offset_m"))
 
 
+def _near_pairs(wanted: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """Wanted stations with known ones, their k nearest among them; one without a place has a row of nulls, if any is known with its place.
+
+    Of known stations at one place the first k by id are all that can be among the k nearest.
+    """
+    placed = known.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    first = placed.withColumn("nth", F.row_number().over(Window.partitionBy("x", "y").orderBy("from_id"))).filter(F.col("nth") <= k).drop("nth")
+    places = np.array([tuple(r) for r in placed.select("x", "y").distinct().limit(MOST_SITES + 1).collect()], np.float64).reshape(-1, 2)
+    if len(places) > MOST_SITES:
+        raise StationError(f"more than {MOST_SITES} places of stations with an offset")
+    if not len(places):
+        return wanted.join(known, F.lit(False))
+    tree = SiteTree(_on_sphere(places))
+    schema = StructType([*wanted.schema, StructField("x", DoubleType()), StructField("y", DoubleType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in range(0, batch.num_rows, 4096):
+                part = batch.slice(b, 4096)
+                points = np.column_stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in (1, 2)])
+                i, j = tree.near(_on_sphere(points), max(k, 1), _widened)
+                none = np.setdiff1d(np.arange(len(points)), i)
+                x, y = (pa.array(np.r_[places[j, c], np.zeros(len(none))], mask=np.arange(len(j) + len(none)) >= len(j)) for c in (0, 1))
+                rows = part.take(pa.array(np.r_[i, none]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, x, y], names=names)
+
+    # Merged, as Spark's estimate leaves out that a station has a row for each place.
+    return wanted.mapInArrow(run, schema).join(first.hint("merge"), ["x", "y"], "left")
+
+
+def _on_sphere(places: np.ndarray) -> np.ndarray:
+    """Unit vectors of (lon, lat) in degrees: a chord's square is four times the haversine."""
+    lon, lat = np.radians(places.T)
+    return np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
+
+def _widened(chord: np.ndarray) -> np.ndarray:
+    """Squared chords longer by SLACK_KM and by rounding: distances are compared to nine digits of a km, in other arithmetic."""
+    half = np.arcsin(np.sqrt(np.minimum(chord / 4, 1.0))) + SLACK_KM / (2 * EARTH_KM)
+    return np.where(half < np.pi / 2, 4 * np.sin(np.minimum(half, np.pi / 2)) ** 2 + 4e-14, np.inf)
+
+
 def fill_interpolated(resolved: DataFrame, power: float = 2.0, k: int | None = None) -> DataFrame:
     filled = interpolated(resolved, power, k).select("station_id", F.col("offset_m").alias("_idw"))
     out = resolved.join(filled, "station_id", "left")
